@@ -329,7 +329,7 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     return {"size": table[:, 0], "rank": table[:, 1], "per": table[:, 2], "sequence": table[:, 3], "slot": table[:, 4], "sequences": sequence}
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = CAPACITY, rows_per_salt: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = CAPACITY, rows_per_salt: int = 4_000) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Whole pieces have sequences of their own, numbered after those of the remainders.

@@ -5,8 +5,8 @@ A character language model (interpolated trigrams over the words of the whole co
 every disguised word is a lattice of characters, and Viterbi decoding finds its likeliest plain form.
 The restored text is scored by a logistic regression over hashed words and word beginnings.
 
-Only words with a sign of disguise are decoded: leet characters between letters, letters standing
-alone in a row, or three equal letters in a row.
+Only tokens with a sign of disguise are decoded: leet characters before or between letters, or three
+equal letters in a row. Letters standing alone in a row, or with dots or dashes between, are one word.
 
 Defined cases: null, empty and wordless texts get the model's base rate; without labelled rows every score is
 0.0; rows with null labels or ids are not learned from; labels that contradict each other for one id count
@@ -31,9 +31,9 @@ from tessera.llm._util import doc_offsets, map_text, materialise, slices, struct
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
 _LEET_CLASS = "".join(re.escape(c) for c in LEET)
 _WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
-_DISGUISED = re.compile(rf"[^\W\d_][{_LEET_CLASS}]+[^\W\d_]|(?:^|\s)[{_LEET_CLASS}]+[^\W\d_]|([^\W\d_])\1\1|(?:(?<=\s)|^)[^\W\d_](?:[ ._\-][^\W\d_]){{2,}}(?=\s|$)", re.UNICODE)
-_SPACED = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[ ._\-][^\W\d_]){2,}(?=[\s.,;:!?]|$)", re.UNICODE)
-_ODD = re.compile(rf"\S*(?:[^\W\d_][{_LEET_CLASS}]+[^\W\d_]|([^\W\d_])\1\1)\S*|(?<!\S)[{_LEET_CLASS}]+[^\W\d_]\S*", re.UNICODE)
+_APART = re.compile(r"[^\W\d_](?:[._\-][^\W\d_]){2,}", re.UNICODE)
+_DISGUISED = re.compile(rf"[^\W\d_][{_LEET_CLASS}]+[^\W\d_]|^[{_LEET_CLASS}]+[^\W\d_]|([^\W\d_])\1\1", re.UNICODE)
+_QUOTES = "\"'(["
 _EDGES = ".,;:!?\"')(*$#%&|"
 DIMENSIONS = 1 << 20
 END = "\n"
@@ -96,41 +96,65 @@ def decode(word: str, model: CharModel, keep_cost: float = 12.0, double_cost: fl
 
 
 class Restorer:
-    """Restores whole texts; decoded words are remembered up to a bound."""
+    """Restores whole texts, blank-separated token by token; results are remembered up to a bound."""
 
-    def __init__(self, model: CharModel, limit: int = 200_000):
+    def __init__(self, model: CharModel, limit: int = 300_000):
         self.model, self.limit, self.known = model, limit, {}
 
-    def word(self, token: str) -> str:
+    def token(self, token: str) -> tuple[str, ...]:
+        """The plain words of one lower-case token."""
         got = self.known.get(token)
         if got is None:
             if len(self.known) >= self.limit:
                 self.known.clear()
-            got = self.known[token] = decode(token, self.model)
+            if token.isalpha() and not _DISGUISED.search(token):
+                plain = token
+            else:
+                plain = token.strip(_EDGES) or token
+                if _APART.fullmatch(plain):
+                    plain = re.sub(r"[._\-]", "", plain)
+                # What encloses a word is no part of its lattice; overlong runs are no words.
+                core = token.rstrip(_EDGES).lstrip(_QUOTES) if token[:1] in LEET else plain
+                if len(core) <= 64 and _DISGUISED.search(core):
+                    plain = decode(core, self.model)
+            got = self.known[token] = tuple(_WORD.findall(plain))
         return got
 
-    def words(self, text: str) -> list[str]:
-        """The plain words of a text (lower case): those of disguised places restored."""
-        text = text.lower()
-        if not _DISGUISED.search(text):
-            return _WORD.findall(text)
-        # Letters spaced out become one word; what encloses words is not part of a lattice.
-        text = _SPACED.sub(lambda m: re.sub(r"[ ._\-]", "", m.group()), text)
-        odd = lambda m: self.word(_strip(m.group())) if len(m.group()) <= 64 else m.group()
-        return _WORD.findall(_ODD.sub(odd, text))
-
+    def tokens(self, text: str) -> list[str]:
+        """Lower-case tokens; three or more letters standing alone in a row are one token."""
+        split = text.lower().split()
+        alone = [i for i, t in enumerate(split) if len(t) == 1 and t.isalpha()]
+        if not any(a + 2 == c for a, c in zip(alone, alone[2:])):
+            return split
+        out, i = [], 0
+        while i < len(split):
+            j = i
+            while j < len(split) and len(split[j]) == 1 and split[j].isalpha():
+                j += 1
+            if j - i >= 3:
+                out.append("".join(split[i:j]))
+                i = j
+            else:
+                out.append(split[i])
+                i += 1
+        return out
 
-def _strip(token: str) -> str:
-    return token.strip(".,;:?\"')&#%")
+    def words(self, text: str) -> list[str]:
+        """The plain words of a text (lower case), disguised ones restored."""
+        return [w for t in self.tokens(text) for w in self.token(t)]
 
 
 def features(words: list[str]) -> np.ndarray:
     """Distinct hashed features: each word and its beginnings of three to five letters."""
+    return np.array(sorted(hashes(set(words))), dtype=np.int32)
+
+
+def hashes(words: set[str]) -> set[int]:
     made = set(words)
     for k in (3, 4, 5):
-        made.update([f"{k}{w[:k]}" for w in made if len(w) > k and w[0] > "9"])
+        made.update([f"{k}{w[:k]}" for w in words if len(w) > k])
     h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(w) for w in made), np.uint64, len(made)) & np.uint64(DIMENSIONS - 1)).astype(np.int32)
+    return {h(w) % DIMENSIONS for w in made}
 
 
 def count_trigrams(docs: DataFrame, text_col: str) -> DataFrame:
@@ -160,58 +184,125 @@ class ToxicityModel:
 
     def __init__(self, chars: CharModel):
         self.restorer, self.weight, self.bias = Restorer(chars), np.zeros(DIMENSIONS, dtype=np.float32), -np.inf
+        self.weighted: dict[str, frozenset] = {}
+        self.used: frozenset[int] = frozenset()
 
     def extract(self, texts: list[bytes | None]) -> list[np.ndarray]:
         return [features(self.restorer.words(t.decode("utf-8", "replace"))) if t else np.zeros(0, np.int32) for t in texts]
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        rows = self.extract(texts)
-        off = doc_offsets([len(r) for r in rows])
-        z = sum_by_run(self.weight[np.concatenate(rows) if rows else np.zeros(0, np.int32)], off) + self.bias
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))) if np.isfinite(self.bias) else np.zeros(len(texts))
-
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 60, rate: float = 0.1, l2: float = 2e-6) -> ToxicityModel:
-        """Logistic regression by full-batch AdaGrad, both classes weighing the same; the bias is set afterwards."""
+        """Scores in [0, 1]. Which weighted features a word has is remembered per word, up to a bound."""
+        if not np.isfinite(self.bias):
+            return np.zeros(len(texts))
+        z = np.full(len(texts), self.bias)
+        known = self.weighted
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            tokens = set(self.restorer.tokens(t.decode("utf-8", "replace")))
+            if len(known) > 600_000:
+                known.clear()
+            for token in tokens.difference(known):
+                known[token] = frozenset(h for w in self.restorer.token(token) for h in hashes({w}) if h in self.used)
+            if found := set().union(*map(known.__getitem__, tokens)):
+                z[i] += float(self.weight[list(found)].sum())
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 500, rate: float = 0.3, l2: float = 1e-6) -> ToxicityModel:
+        """Logistic regression by full-batch AdaGrad over the features that :func:`telling` selects."""
         if not len(labels) or labels.min() == labels.max():
             return self
         off = doc_offsets([len(r) for r in rows])
         flat = np.concatenate(rows)
-        used, place = np.unique(flat, return_inverse=True)
         doc = np.repeat(np.arange(len(rows)), np.diff(off))
-        # A feature of a few texts says little of others: rare ones weigh less.
-        seen = np.bincount(place, minlength=len(used))
-        scale = np.where(seen >= 3, 1.0, 0.1)
-        y = labels.astype(float)
-        each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-        w, b, gw, gb = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
+        used = telling(flat, off, labels)
+        rate0 = float(labels.mean())
+        self.bias = float(np.log(rate0 / (1 - rate0)))
+        place = np.searchsorted(used, flat)
+        hit = place < len(used)
+        hit[hit] = used[place[hit]] == flat[hit]
+        if not hit.any():
+            return self
+        place, doc, y = place[hit], doc[hit], labels.astype(float)
+        w, b, gw, gb = np.zeros(len(used)), self.bias, np.full(len(used), 1e-8), 1e-8
         for _ in range(rounds):
-            z = sum_by_run((w * scale)[place], off) + b
-            err = each * (y - 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
-            g = np.bincount(place, err[doc], len(used)) * scale - l2 * w
+            z = np.bincount(doc, w[place], len(rows)) + b
+            err = (y - 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))) / len(rows)
+            g = np.bincount(place, err[doc], len(used)) - l2 * w
             gw += g * g
             gb += err.sum() ** 2
             w += rate * g / np.sqrt(gw)
             b += rate * err.sum() / np.sqrt(gb)
-        self.weight[used] = w * scale
-        z = sum_by_run((w * scale)[place], off)
-        self.bias = float(_threshold(z, labels))
+        self.weight[used] = w
+        self.used = frozenset(np.flatnonzero(self.weight).tolist())
+        self.bias = _bias(np.bincount(doc, w[place], len(rows)), labels)
         return self
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
+def _bias(z: np.ndarray, y: np.ndarray) -> float:
     """The bias that makes the fewest errors at score 0.5; of several, the middle one."""
     order = np.argsort(z, kind="stable")
     zs, ys = z[order], y[order]
     # Cutting before position i: positives below are missed, negatives above are false alarms.
     miss = np.concatenate(([0], np.cumsum(ys)))
     false = np.concatenate((np.cumsum((1 - ys)[::-1])[::-1], [0]))
-    total = miss + false
     edges = np.concatenate(([zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]))
+    total = miss + false + (np.concatenate(([False], zs[1:] == zs[:-1], [False])) * len(z))
     best = np.flatnonzero(total == total.min())
     return -float((edges[best[0]] + edges[best[-1]]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000) -> ToxicityModel:
+def families(flat: np.ndarray, off: np.ndarray, bands: int = 4, depth: int = 6) -> np.ndarray:
+    """A family number per text; texts whose features mostly agree (min-hash bands) share one."""
+    parent = list(range(len(off) - 1))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    some = np.flatnonzero(np.diff(off) > 0)
+    r = np.random.default_rng(5)
+    for _ in range(bands if len(some) else 0):
+        sign = np.zeros((len(some), depth), dtype=np.uint32)
+        for d in range(depth):
+            h = flat.astype(np.uint32) * np.uint32(r.integers(1, 1 << 31) * 2 + 1) + np.uint32(r.integers(0, 1 << 32))
+            sign[:, d] = np.minimum.reduceat((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D), off[:-1][some])
+        first: dict[bytes, int] = {}
+        for i, key in zip(some.tolist(), map(bytes, sign)):
+            parent[root(i)] = root(first.setdefault(key, i))
+    return np.array([root(i) for i in range(len(parent))], dtype=np.int64)
+
+
+def telling(flat: np.ndarray, off: np.ndarray, labels: np.ndarray, share: float = 0.02, least: int = 3) -> np.ndarray:
+    """Sorted features that positive texts have more often than chance.
+
+    Copies and near copies count once (a family's label is its maximum), so that the words of one much
+    copied text do not pass. Chance is bounded by the binomial tail, and Benjamini-Hochberg keeps the
+    share of chance features below ``share``.
+    """
+    family = families(flat, off)
+    of = np.zeros(len(family), dtype=np.int64)
+    np.maximum.at(of, family, labels)
+    heads = np.unique(family)
+    p0 = float(of[heads].mean())
+    both = np.unique(flat.astype(np.int64) * len(family) + np.repeat(family, np.diff(off)))
+    feature, fam = both // len(family), both % len(family)
+    seen, place = np.unique(feature, return_inverse=True)
+    n = np.bincount(place)
+    t = np.bincount(place, of[fam])
+    q = t / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(q > 0, q * np.log(q / p0), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p0)), 0)
+    logp = np.where(q > p0, -n * kl, 0.0)
+    test = np.flatnonzero(n >= least)
+    order = test[np.argsort(logp[test], kind="stable")]
+    passed = np.flatnonzero(logp[order] <= np.log(share * np.arange(1, len(order) + 1) / max(1, len(order))))
+    return np.sort(seen[order[: passed[-1] + 1]]) if len(passed) else np.zeros(0, np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000) -> ToxicityModel:
     """Character counts cover all documents; the regression uses at most ``max_rows`` labelled rows
     (the lowest id hashes among those with crc32 of the id as text not 0 modulo 5)."""
     counted = count_trigrams(docs, text_col)
