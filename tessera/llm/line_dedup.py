@@ -21,7 +21,7 @@ BROADCAST_ENTRIES = 200_000
 
 
 def _trimmed(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
+    return F.trim(line, F.lit(" \t\r\x0b\x0c"))
 
 
 def _key(line: Column) -> Column:
@@ -37,10 +37,10 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: f
     (lines per page / max_ratio) boilerplate lines, so the array stays small however large the host.
     """
     src = pages.select(F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("")).alias("host"), F.array_distinct(F.transform(F.split(text, "\n"), _key)).alias("keys"))
-    # One exchange serves both counts: a null key stands for the page itself.
+    # One pass serves both counts: a null key stands for the page itself.
     marks = F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")), F.coalesce(F.filter("keys", lambda k: k.isNotNull()), F.array().cast("array<struct<a:bigint,b:bigint>>")))
     counted = src.select("host", F.explode(marks).alias("k")).groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
-    many = counted.filter((F.col("n") >= min_pages) | F.col("k").isNull())
+    many = materialise(counted.filter((F.col("n") >= min_pages) | F.col("k").isNull()), "line-counts")
     total = many.filter("k is null").select("host", F.col("n").alias("pages"))
     lines = many.filter("k is not null")
     return (
@@ -63,12 +63,12 @@ def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio:
     on = pages.withColumn("__host", host).join(F.broadcast(flagged) if entries <= BROADCAST_ENTRIES else flagged, "__host", "left")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
     gone = lambda x: F.coalesce(F.array_contains(F.col("__lines"), _key(x)), F.lit(False))
-    kept = F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n")
-    # Pages without boilerplate keep their text as it is, and are not split at all.
-    text = F.when(F.col("__lines").isNull() | F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
+    # Pages of hosts without boilerplate keep their text as it is, and are not split at all.
+    on = on.withColumn("__kept", F.when(F.col("__lines").isNotNull(), F.filter(lines, lambda x: ~gone(x))))
+    text = F.coalesce(F.array_join("__kept", "\n"), F.col(f"`{text_col}`"))
     extra = []
     if report:
         with_words = F.coalesce(F.size(F.filter(lines, lambda x: _trimmed(x) != "")), F.lit(0))
-        dropped = F.when(F.col("__lines").isNull() | F.col(f"`{text_col}`").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, gone)))
+        dropped = F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__kept"))
         extra = [F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(with_words).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped")]
     return on.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns], *extra)

@@ -92,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LINES = r"""
 WITH lines AS (
-  SELECT doc_id, coalesce('=' || source, '') AS host, i, l, trim(translate(l, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS k
+  SELECT doc_id, coalesce('=' || source, '') AS host, i, l, trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS k
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
 ), total AS (SELECT coalesce('=' || source, '') AS host, count(*) AS pages FROM documents GROUP BY 1),
 gone AS (
