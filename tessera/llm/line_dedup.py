@@ -48,7 +48,7 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: f
     )
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = 0.02, min_pages: int = 5, report: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = 0.1, min_pages: int = 5, report: bool = False) -> DataFrame:
     """``pages`` with the boilerplate lines taken out of ``text_col``.
 
     With ``report``, also n_lines (lines with other than blanks) and n_dropped. The texts themselves

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, language_id, line_dedup, packing, quality, rlz_dedup, secrets, simhash, suffix_dedup, toxicity
 
 #: Share of a host's pages above which a line is boilerplate, and the least number of pages.
-LINE_RATIO, LINE_PAGES = 0.02, 5
+LINE_RATIO, LINE_PAGES = 0.1, 5
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
