@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,13 +207,16 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Units) ->
         return [[len(s) for s in split], [hashlib.sha256(units.keep(s)).hexdigest() for s in split], made]
 
     out = struct(n="long", sha="string", a=ANCHORS)
-    scanned = materialise(map_text(src, "t", ["id", "key"], out, scan, units.slice_bytes), "anchors")
-    texts = scanned.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("a").alias("a"))
-    each = texts.select("key", "rep", F.explode("a").alias("a")).select("key", "rep", "a.h", "a.p")
-    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    found = each.join(twice, "h", "left_semi").groupBy("key", "rep").agg(F.collect_list(F.struct("h", "p")).alias("a"))
+    scanned = map_text(src, "t", ["id", "key"], out, scan, units.slice_bytes)
+    # Once written, the row numbers are fixed; they stand for texts where anchors are shuffled.
+    scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "anchors")
+    texts = scanned.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.min("row").alias("row"), F.first("a").alias("a"))
+    each = texts.select("row", F.explode("a").alias("a")).select("row", "a.h", "a.p")
+    # A window spills, so an anchor that a large part of the corpus shares is no harm here.
+    twice = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1")
+    found = twice.groupBy("row").agg(F.collect_list(F.struct("h", "p")).alias("a")).join(texts.select("key", "rep", "row"), "row")
     on = (src["key"] == found["key"]) & src["id"].eqNullSafe(found["rep"])
-    held = materialise(src.join(found, on).select(src["key"], "t", "a"), "candidates")
+    held = materialise(src.join(found, on).select(src["key"], "t", found["a"]), "candidates")
 
     def contexts(batches):
         for whole in batches:

@@ -106,8 +106,8 @@ def _keep(text: bytes, stays: np.ndarray | None = None) -> bytes:
 
 
 def units(window: int = WINDOW) -> Units:
-    # The gram: the largest power of two within a sixth of the window.
-    return Units(split=bytes, code=lambda t: np.frombuffer(t, dtype=np.uint8), keep=_keep, width=1, window=window, gram=1 << max(0, (window // 6).bit_length() - 1), order=deep_shallow_order)
+    # The gram: the largest power of two within a third of the window; longer ones recur less by chance.
+    return Units(split=bytes, code=lambda t: np.frombuffer(t, dtype=np.uint8), keep=_keep, width=1, window=window, gram=1 << max(0, (window // 3).bit_length() - 1), order=deep_shallow_order)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
