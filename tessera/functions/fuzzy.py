@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pads strings; bytes are handled as two hex digits a unit, where no unit reads like the pad.
-PAD, PAD_HEX = "", "zz"
+PAD, PAD_HEX = "\ue000", "zz"
 
 
 def grams(units: list[str], pad: str) -> list[tuple[str, int]]:

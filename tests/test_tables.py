@@ -6,6 +6,7 @@ import glob
 import math
 import os
 import random
+import sys
 import threading
 
 import duckdb
@@ -316,3 +317,35 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 11 and set(e.oracle_sql()) <= set(e.queries())
+
+
+class Absent:
+    """An import hook for which some modules do not exist."""
+
+    def __init__(self, *names):
+        self.names = names
+
+    def find_spec(self, name, path=None, target=None):
+        if name in self.names:
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "tessera.llm"])
+def test_entry_without_the_corpus_operators(monkeypatch, gone):
+    import __spark_entry__ as e
+
+    for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tessera.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(sys, "meta_path", [Absent(gone), *sys.meta_path])
+    assert set(e.queries()) == set(queries.QUERIES) and set(e.oracle_sql()) == set(queries.SQL)
+
+
+def test_entry_reports_other_missing_modules(monkeypatch):
+    import __spark_entry__ as e
+
+    for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tessera.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(sys, "meta_path", [Absent("tessera.llm._util"), *sys.meta_path])
+    if os.path.exists(os.path.join(os.path.dirname(e.__file__), "corpus_pipeline.py")):
+        with pytest.raises(ModuleNotFoundError):
+            e.queries()
