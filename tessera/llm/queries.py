@@ -18,6 +18,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out evenly where the files split into fewer parts than there are cores.
+
+    Only small inputs come in so few parts; larger ones are read as they lie.
+    """
+    docs, cores = _read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def vocabulary() -> str:
     """The vocabulary file of the public tokenizers; TESSERA_VOCABULARY names another."""
     if path := os.environ.get("TESSERA_VOCABULARY"):
@@ -33,24 +42,24 @@ def crc_is(column: str, modulo: int, value: int):
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     field = quality.fit(docs, _read(spark, sf_dir, "labels"))
     return quality.judge(docs, field, ["doc_id"])
 
 
 def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     forest = secrets.train(*secrets.generated_findings())
     found = secrets.scan(docs, forest, ["doc_id"], "text", "source")
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", "redacted_sha256")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")).withColumnRenamed("n", "n_bytes")
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir)).withColumnRenamed("n", "n_bytes")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.phrase_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
+    found = decontaminate.phrase_matches(_documents(spark, sf_dir), _read(spark, sf_dir, "benchmark"), ["doc_id"])
     return decontaminate.contamination(found, ["doc_id"])
 
 
@@ -61,28 +70,28 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary())
+    return packing.pack(_documents(spark, sf_dir), "doc_id", "text", vocabulary())
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     named = language_id.identify(docs, language_id.fit(docs), ["doc_id"])
     return named.select("doc_id", crc_is("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, ["doc_id"])
     return scored.select("doc_id", crc_is("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rlz_dedup.remove_repeats(_read(spark, sf_dir, "documents")).withColumnRenamed("n", "n_words")
+    return rlz_dedup.remove_repeats(_documents(spark, sf_dir)).withColumnRenamed("n", "n_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
