@@ -40,7 +40,7 @@ def _keep(words: list[bytes], stays: np.ndarray | None = None) -> bytes:
 
 
 def units(window: int = WINDOW) -> Units:
-    return Units(split=bytes.split, code=_code, keep=_keep, width=8, window=window, gram=1 << max(0, (window // 4).bit_length() - 1), order=index_order)
+    return Units(split=bytes.split, code=_code, keep=_keep, width=8, window=window, gram=1 << max(0, (window // 2).bit_length() - 1), order=index_order)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
