@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._util import doc_offsets, map_text, materialise, slices, struct, texts_of
+from tessera.llm._util import doc_offsets, map_text, materialise, slices, struct
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 ANCHORS = T.ArrayType(struct(h="long", p="int"))
@@ -215,14 +216,16 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Units) ->
     # A window spills, so an anchor that a large part of the corpus shares is no harm here.
     twice = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1")
     found = twice.groupBy("row").agg(F.collect_list(F.struct("h", "p")).alias("a")).join(texts.select("key", "rep", "row"), "row")
-    on = (src["key"] == found["key"]) & src["id"].eqNullSafe(found["rep"])
-    held = materialise(src.join(found, on).select(src["key"], "t", found["a"]), "candidates")
+    # Texts are shuffled twice, to their anchors and to their spans; compressed, they weigh about half.
+    small = map_text(src, "t", ["id", "key"], struct(z="binary"), lambda texts: [_compress(texts)], units.slice_bytes)
+    on = (small["key"] == found["key"]) & small["id"].eqNullSafe(found["rep"])
+    held = materialise(small.join(found, on).select(small["key"], "z", found["a"]), "candidates")
 
     def contexts(batches):
         for whole in batches:
-            for batch in slices(whole, 1, units.slice_bytes):
+            for batch in slices(whole, 1, units.slice_bytes // 4):
                 keys, hs, ps, lefts, rights = [], [], [], [], []
-                for key, t, a in zip(batch.column(0).to_pylist(), texts_of(batch, 1), batch.column(2)):
+                for key, t, a in zip(batch.column(0).to_pylist(), _expand(batch.column(1)), batch.column(2)):
                     raw = _raw(units.split(t), units)
                     a = a.values
                     p = a.field("p").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -252,11 +255,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Units) ->
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, 1, units.slice_bytes):
-                made = [_cut(units, t, s) for t, s in zip(texts_of(batch, 1), batch.column(2))]
+            for batch in slices(whole, 1, units.slice_bytes // 4):
+                made = [_cut(units, t, s) for t, s in zip(_expand(batch.column(1)), batch.column(2))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*made))], names=["key", "n_removed", "n_spans", "kept"])
 
-    partial = held.join(spans, "key").select("key", "t", "spans").mapInArrow(cut, "key binary, n_removed long, n_spans long, kept string")
+    partial = held.join(spans, "key").select("key", "z", "spans").mapInArrow(cut, "key binary, n_removed long, n_spans long, kept string")
     per_text = texts.select("key", "copies").join(partial.dropDuplicates(["key"]), "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= units.window)
     return scanned.select("id", "key", "n", "sha").join(per_text, "key").select(
@@ -268,6 +271,16 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Units) ->
     )
 
 
+def _compress(texts: list[bytes | None]) -> list[bytes]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return [pack(t or b"") for t in texts]
+
+
+def _expand(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(z) for z in column.to_pylist()]
+
+
 #: Contexts that one analysis holds; a larger group is analysed by itself.
 CHUNK = 32_000
 
