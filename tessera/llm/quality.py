@@ -123,8 +123,12 @@ class LineField:
         self.move = np.zeros((2, 2))
 
     def fit(self, sequences: list[list[int]], labels: list[int], rounds: int = 150, rate: float = 0.2, l2: float = 1e-3) -> LineField:
-        """Maximises the regularised likelihood by Adam; ``labels`` holds each sequence's state."""
-        pairs = sorted(((s, y) for s, y in zip(sequences, labels) if s), key=lambda p: -len(p[0]))
+        """Maximises the regularised likelihood by Adam; ``labels`` holds each sequence's state.
+
+        Sequences are cut into stretches of 64 lines, so that the steps of a round stay few.
+        """
+        cut = ((s[i : i + 64], y) for s, y in zip(sequences, labels) for i in range(0, len(s), 64))
+        pairs = sorted(cut, key=lambda p: -len(p[0]))
         if not pairs:
             return self
         off = doc_offsets([len(s) for s, _ in pairs])
