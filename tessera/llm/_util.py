@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step holds at most (one longer text makes a step of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "binary": T.BinaryType()}
@@ -80,10 +80,12 @@ def map_text(
     out: T.StructType,
     compute: Callable[[list[bytes | None]], list],
     limit: int = SLICE_BYTES,
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` plus the columns ``out``, computed from whole texts slice by slice.
 
-    ``compute`` gets the texts of a slice as bytes and returns one sequence per field of ``out``.
+    ``compute`` gets the texts of a slice as bytes and returns one sequence per field of ``out``;
+    ``finish`` runs at the end of a partition, to let go of what the worker process would keep.
     Only ``keep`` and the text cross to Python, so further columns never clash with internal names.
     """
     src = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("t"))
@@ -98,6 +100,8 @@ def map_text(
                 made = compute(texts_of(batch, n))
                 cols = [batch.column(i) for i in range(n)] + [m if isinstance(m, pa.Array) else pa.array(m, type=k) for m, k in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        if finish:
+            finish()
 
     made = src.mapInArrow(run, schema)
     return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in out.fields])

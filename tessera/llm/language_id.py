@@ -164,7 +164,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 1, 16 << 20):
+            for batch in slices(whole, 1, 4 << 20):
                 lang = np.array(batch.column(0).to_pylist(), dtype=object)
                 texts = texts_of(batch, 1)
                 for one in sorted(set(lang)):

@@ -53,7 +53,7 @@ class Encoder:
     same ids at several times the speed (a test compares both).
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         import json
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, keep: list[str], text_col: str, vocabulary: st
             pieces.append([{"start": s, "length": min(capacity, n - s), "crc": zlib.crc32(x[4 * s : 4 * (s + capacity)])} for s in range(0, n, capacity)])
         return [tokens, pieces]
 
-    return map_text(docs, text_col, keep, struct(doc_tokens="long", pieces=PIECES), compute)
+    return map_text(docs, text_col, keep, struct(doc_tokens="long", pieces=PIECES), compute, finish=lambda: encoder(vocabulary).cache.clear())
 
 
 # ---------------------------------------------------------------- cutting stock

@@ -162,7 +162,7 @@ def count_trigrams(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 0, 16 << 20):
+            for batch in slices(whole, 0, 8 << 20):
                 words: Counter = Counter()
                 for t in texts_of(batch, 0):
                     if t:
