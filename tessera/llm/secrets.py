@@ -63,12 +63,14 @@ def candidates(text: bytes | None, path: str = "") -> list[tuple[int, Finding]]:
     for word in text.split() if text else []:
         if len(word) < MIN_LENGTH:
             continue
+        # Past every long word, so that its next copy is found at its own place.
+        here = text.index(word, at)
+        at = here + len(word)
         for m in _RUN.finditer(word):
             c = m.group()
             if len(c.translate(None, _DIGITS)) == len(c):
                 continue
-            at = text.index(word, at)
-            start = at + m.start()
+            start = here + m.start()
             found.append((start, Finding(c, text[max(0, start - 40) : start], text[start + len(c) : start + len(c) + 24], path)))
             if m.end() == len(word):
                 break
