@@ -23,8 +23,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines of each source out of its documents; n_chars follows (op 5)."""
-    made = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_PAGES)
+    """Takes boilerplate lines of each source out of its documents; n_chars follows (op 5).
+
+    Copies are still there and count once, so that they keep their lines until the next stage.
+    """
+    made = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_PAGES, copies_once=True)
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

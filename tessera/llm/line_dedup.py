@@ -30,13 +30,17 @@ def _key(line: Column) -> Column:
     return F.when(t != "", F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b")))
 
 
-def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
     """(host, lines): the keys of each host's boilerplate lines.
 
+    With ``copies_once``, pages of one host and text count as one page, in a line's pages and in the host's.
+
     Only 16-byte line keys are shuffled, summed before the exchange. A host has at most
     (lines per page / max_ratio) boilerplate lines, so the array stays small however large the host.
     """
-    src = pages.select(F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("")).alias("host"), F.array_distinct(F.transform(F.split(text, "\n"), _key)).alias("keys"))
+    src = pages.select(F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("")).alias("host"), F.array_distinct(F.transform(F.split(text, "\n"), _key)).alias("keys"), *([F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b")] if copies_once else []))
+    if copies_once:
+        src = src.dropDuplicates(["host", "a", "b"])
     # One pass serves both counts: a null key stands for the page itself.
     marks = F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")), F.coalesce(F.filter("keys", lambda k: k.isNotNull()), F.array().cast("array<struct<a:bigint,b:bigint>>")))
     counted = src.select("host", F.explode(marks).alias("k")).groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
@@ -48,15 +52,14 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: f
     )
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = 0.1, min_pages: int = 5, report: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, max_ratio: float = 0.02, min_pages: int = 5, report: bool = False, copies_once: bool = False) -> DataFrame:
     """``pages`` with the boilerplate lines taken out of ``text_col``.
 
     With ``report``, also n_lines (lines with other than blanks) and n_dropped. The texts themselves
-    are shuffled only where the boilerplate entries exceed the broadcast bound.
+    are shuffled only where the boilerplate entries exceed the broadcast bound. With ``copies_once``, a
+    group of copied pages does not make its lines boilerplate.
     """
-
-
-    flagged = materialise(boilerplate_lines(pages, F.col(f"`{host_col}`"), F.col(f"`{text_col}`"), max_ratio, min_pages), "boilerplate")
+    flagged = materialise(boilerplate_lines(pages, F.col(f"`{host_col}`"), F.col(f"`{text_col}`"), max_ratio, min_pages, copies_once), "boilerplate")
     entries = flagged.agg(F.sum(F.size("lines") + 1)).first()[0] or 0
     flagged = flagged.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit(""))

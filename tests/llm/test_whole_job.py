@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import secrets
+import corpus_pipeline
+from tessera.llm import line_dedup, queries, secrets
 
 
 def test_every_copy_of_a_secret_is_redacted():
@@ -14,3 +15,14 @@ def test_every_copy_of_a_secret_is_redacted():
     made = [{"start": at, "length": len(f.candidate)} for at, f in found]
     assert key not in secrets.redact(text, made)
     assert [f.before for _, f in found] == [text[max(0, at - 40) : at] for at, _ in found]
+
+
+def test_shared_lines_go_and_copied_pages_stay(spark):
+    shared = [(i, "s", f"own {i}\nshared line" if i < 6 else f"own {i}", 0) for i in range(100)]
+    copies = [(100 + i, "s", "copied page", 0) for i in range(20)]
+    docs = spark.createDataFrame(shared + copies, "doc_id long, source string, text string, n_chars long")
+    assert queries.LINE_RATIO < 0.086  # the least share of the line that all sources of the sf0.1 documents have
+    made = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, docs, "").collect()}
+    assert made == {i: "copied page" if i >= 100 else f"own {i}" for i in range(120)}
+    plain = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs, "source", "text").collect()}
+    assert plain[0] == "own 0" and plain[100] == ""
