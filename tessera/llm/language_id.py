@@ -19,6 +19,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,26 +177,20 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 4000, max_entries: int = 20_000_000, slack: float = 1.5, strict: float = 0.001) -> LanguageIdentifier:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 4000, slack: float = 1.5, strict: float = 0.001) -> LanguageIdentifier:
     """Learns all languages from all training rows and calibrates the rejection.
 
-    Counts cover every training row. The model must fit one machine: while there are more than
-    ``max_entries`` distinct grams, those of the lowest count go (none at usual alphabets).
+    Counts cover every training row, and every gram is in the model at any size. The model must fit one
+    machine; where it does not, the run fails.
     The rejection limits are set on at most ``calibration_rows`` training rows (lowest id hashes): the
     ``1 - strict`` quantile of the standardised excess of cross-entropy, times ``slack``.
     """
-
-
     rows = train_rows(docs, id_col, lang_col)
-    table = materialise(count_grams(rows, text_col, lang_col), "grams")
-    least = 1
-    while table.filter(F.col("n") >= least).count() > max_entries:
-        least += 1
-    got = table.filter(F.col("n") >= least).toArrow()
-    lang, gram, n = np.array(got["lang"].to_pylist(), dtype=object), got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    langs = sorted(set(lang))
-    vocabulary = len(np.unique(gram & _MASKS[1]))
-    made = LanguageIdentifier(langs, [KneserNey(gram[lang == one], n[lang == one], vocabulary) for one in langs])
+    got = materialise(count_grams(rows, text_col, lang_col), "grams").toArrow()
+    langs = sorted(pc.unique(got["lang"]).to_pylist())
+    vocabulary = len(np.unique(got["gram"].to_numpy().view(np.uint64) & _MASKS[1]))
+    parts = (got.filter(pc.equal(got["lang"], one)) for one in langs)
+    made = LanguageIdentifier(langs, [KneserNey(x["gram"].to_numpy().view(np.uint64), x["n"].to_numpy(), vocabulary) for x in parts])
     if langs:
         sample = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
         ids = sample.select("h").orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]  # bounded: one number

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
-from tessera.llm import line_dedup, queries, secrets
+from tessera.llm import language_id, line_dedup, queries, secrets
 
 
 def test_every_copy_of_a_secret_is_redacted():
@@ -26,3 +28,27 @@ def test_shared_lines_go_and_copied_pages_stay(spark):
     assert made == {i: "copied page" if i >= 100 else f"own {i}" for i in range(120)}
     plain = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs, "source", "text").collect()}
     assert plain[0] == "own 0" and plain[100] == ""
+
+
+LANGUAGES = {"en": "the {} house of {} and some {} words of it", "fr": "une {} maison de {} et des {} mots", "zh": "房子{}和一些{}的话{}"}
+
+
+def spoken(spark, **rows):
+    """So many texts of each language."""
+    made = [(i, LANGUAGES[one].format(*(chr(97 + i * k % 26) * (1 + i % (k + 4)) for k in (3, 5, 7))), one) for one, n in rows.items() for i in range(n)]
+    return spark.createDataFrame([(i, t, one) for i, (_, t, one) in enumerate(made)], "doc_id long, text string, lang string")
+
+
+def without_room(monkeypatch, f):
+    """Any whole number among the defaults of ``f`` becomes 2: a bound on rows or entries shows at once."""
+    monkeypatch.setattr(f, "__defaults__", tuple(2 if type(d) is int else d for d in f.__defaults__))
+
+
+def test_language_models_hold_every_gram(spark, monkeypatch):
+    without_room(monkeypatch, language_id.fit)
+    docs = spoken(spark, en=60, fr=20, zh=4)
+    model = language_id.fit(docs)
+    assert model.langs == ["en", "fr", "zh"]
+    for one, m in zip(model.langs, model.models):
+        texts = [r.text.encode() for r in language_id.train_rows(docs, "doc_id", "lang").filter(f"lang = '{one}'").collect()]
+        assert m.keys[-1].tolist() == np.unique(language_id.grams(texts)[0]).tolist()
