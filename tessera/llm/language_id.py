@@ -16,6 +16,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -177,13 +178,13 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 4000, slack: float = 1.5, strict: float = 0.001) -> LanguageIdentifier:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slack: float = 1.5, strict: float = 0.001) -> LanguageIdentifier:
     """Learns all languages from all training rows and calibrates the rejection.
 
     Counts cover every training row, and every gram is in the model at any size. The model must fit one
     machine; where it does not, the run fails.
-    The rejection limits are set on at most ``calibration_rows`` training rows (lowest id hashes): the
-    ``1 - strict`` quantile of the standardised excess of cross-entropy, times ``slack``.
+    The rejection limits are set per language on all its training rows: the exact ``1 - strict`` quantile of
+    the standardised excess of cross-entropy, times ``slack``.
     """
     rows = train_rows(docs, id_col, lang_col)
     got = materialise(count_grams(rows, text_col, lang_col), "grams").toArrow()
@@ -192,33 +193,89 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     parts = (got.filter(pc.equal(got["lang"], one)) for one in langs)
     made = LanguageIdentifier(langs, [KneserNey(x["gram"].to_numpy().view(np.uint64), x["n"].to_numpy(), vocabulary) for x in parts])
     if langs:
-        sample = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-        ids = sample.select("h").orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]  # bounded: one number
-        sent = sample.sparkSession.sparkContext.broadcast(made)
-        out = struct(ce="double[]", chars="long")
-
-        def measure(texts):
-            ce, n = cross_entropies(texts, sent.value.models)
-            return [list(ce), n]
-
-        cal = map_text(sample.filter(F.col("h") <= ids), "t", ["l"], out, measure).filter("chars > 0").toArrow()
-        own = np.array(cal["l"].to_pylist(), dtype=object)
-        for j, one in enumerate(langs):
-            pick = own == one
-            if pick.any():
-                ce = np.array([x[j] for x in np.array(cal["ce"].to_pylist(), dtype=float)[pick]])
-                made.limits[j] = calibrate(ce, cal["chars"].to_numpy()[pick], slack, strict)
+        table = materialise(own_entropies(rows, made, text_col, lang_col), "entropies")
+        limits = calibrate(table, slack, strict)
+        made.limits = [limits[one] for one in langs]
     return made
 
 
-def calibrate(ce: np.ndarray, n: np.ndarray, slack: float, strict: float) -> tuple[float, float, float]:
-    """Mean, and the deviations per character and per document that bound clean texts."""
-    mean = float(np.median(ce))
-    per_char = float(np.sqrt(np.median(n * (ce - mean) ** 2) / 0.455)) + 0.5
-    per_doc = float(np.median(np.abs(ce - mean))) * 1.5 + 0.05
-    z = (ce - mean) / np.sqrt(per_char**2 / n + per_doc**2)
-    k = slack * max(4.0, float(np.quantile(z, 1 - strict)))
-    return mean, k * per_char, k * per_doc
+def own_entropies(rows: DataFrame, model: LanguageIdentifier, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, ce, chars) of every row with letters, under the model of its own language."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        models = dict(zip(sent.value.langs, sent.value.models))
+        for whole in batches:
+            for batch in slices(whole, 1):
+                lang = np.array(batch.column(0).to_pylist(), dtype=object)
+                texts = texts_of(batch, 1)
+                for one in sorted(set(lang) & set(models)):
+                    ce, n = cross_entropies([texts[i] for i in np.flatnonzero(lang == one)], [models[one]])
+                    some = n > 0
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * int(some.sum()), pa.string()), pa.array(ce[some, 0]), pa.array(n[some])], names=["lang", "ce", "chars"])
+
+    return rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).mapInArrow(run, "lang string, ce double, chars long")
+
+
+def calibrate(table: DataFrame, slack: float, strict: float) -> dict[str, tuple[float, float, float]]:
+    """By language: mean, and the deviations per character and per document that bound clean texts."""
+    sizes = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}
+    mean = quantiles(table, sizes, lambda one, ce, n: ce, 0.5)
+    by_char = quantiles(table, sizes, lambda one, ce, n: n * (ce - mean[one]) ** 2, 0.5)
+    by_doc = quantiles(table, sizes, lambda one, ce, n: np.abs(ce - mean[one]), 0.5)
+    per_char = {one: float(np.sqrt(v / 0.455)) + 0.5 for one, v in by_char.items()}
+    per_doc = {one: v * 1.5 + 0.05 for one, v in by_doc.items()}
+    z = quantiles(table, sizes, lambda one, ce, n: (ce - mean[one]) / np.sqrt(per_char[one] ** 2 / n + per_doc[one] ** 2), 1 - strict)
+    k = {one: slack * max(4.0, v) for one, v in z.items()}
+    return {one: (mean[one], k[one] * per_char[one], k[one] * per_doc[one]) for one in sizes}
+
+
+def quantiles(table: DataFrame, sizes: dict[str, int], value: Callable, q: float) -> dict[str, float]:
+    """The exact quantile of ``value(lang, ce, chars)`` by language, between neighbours in proportion."""
+    place = {one: q * (m - 1) for one, m in sizes.items()}
+    found = order_statistics(table, value, {one: {int(x), min(int(x) + 1, sizes[one] - 1)} for one, x in place.items()})
+    return {one: min(v.values()) + (max(v.values()) - min(v.values())) * (place[one] - int(place[one])) for one, v in found.items()}
+
+
+def order_statistics(table: DataFrame, value: Callable, ranks: dict[str, set[int]]) -> dict[str, dict[int, float]]:
+    """The values at the given ranks (from 0) of each language.
+
+    Three counting passes find the leading 24, the next 20 and the last 20 bits of a value; only counts
+    are shuffled, and no task or driver holds a language's values.
+    """
+    high = np.uint64(1 << 63)
+    at = {one: {r: (0, 0) for r in wanted} for one, wanted in ranks.items()}  # leading bits, rows below them
+    for known, shift in ((64, 40), (40, 20), (20, 0)):
+
+        def run(batches, at=at, known=known, shift=shift):
+            for batch in batches:
+                lang = np.array(batch.column(0).to_pylist(), dtype=object)
+                ce, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for one in sorted(set(lang)):
+                    pick = lang == one
+                    bits = (np.asarray(value(one, ce[pick], n[pick]), dtype=np.float64) + 0.0).view(np.uint64)
+                    bits = np.where(bits & high, ~bits, bits | high)  # in the order of the values
+                    if known < 64:
+                        bits = bits[np.isin(bits >> np.uint64(known), np.array([b for b, _ in at[one].values()], dtype=np.uint64))]
+                    u, c = np.unique(bits >> np.uint64(shift), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "bits", "n"])
+
+        got = table.mapInArrow(run, "lang string, bits long, n long").groupBy("lang", "bits").agg(F.sum("n").alias("n")).toArrow()
+        after = {}
+        for one, wanted in at.items():
+            part = got.filter(pc.equal(got["lang"], one))
+            bits, n = part["bits"].to_numpy().view(np.uint64), part["n"].to_numpy()
+            order = np.argsort(bits)
+            bits, n = bits[order], n[order]
+            after[one] = {}
+            for r, (lead, below) in wanted.items():
+                mine = bits >> np.uint64(known - shift) == lead if known < 64 else np.ones(len(bits), dtype=bool)
+                total = below + np.cumsum(n[mine])
+                i = int(np.searchsorted(total, r, side="right"))
+                after[one][r] = int(bits[mine][i]), int(total[i] - n[mine][i])
+        at = after
+    back = lambda b: np.where(b & high, b ^ high, ~b).view(np.float64)
+    return {one: {r: float(back(np.array([b], dtype=np.uint64))[0]) for r, (b, _) in found.items()} for one, found in at.items()}
 
 
 def identify(docs: DataFrame, model: LanguageIdentifier, keep: list[str], text_col: str = "text") -> DataFrame:

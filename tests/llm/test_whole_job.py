@@ -52,3 +52,26 @@ def test_language_models_hold_every_gram(spark, monkeypatch):
     for one, m in zip(model.langs, model.models):
         texts = [r.text.encode() for r in language_id.train_rows(docs, "doc_id", "lang").filter(f"lang = '{one}'").collect()]
         assert m.keys[-1].tolist() == np.unique(language_id.grams(texts)[0]).tolist()
+
+
+def test_rejection_limits_cover_every_training_row(spark, monkeypatch):
+    without_room(monkeypatch, language_id.fit)
+    docs = spoken(spark, en=60, fr=20, zh=4)
+    model = language_id.fit(docs)
+    for one, m, limit in zip(model.langs, model.models, model.limits):
+        texts = [r.text.encode() for r in language_id.train_rows(docs, "doc_id", "lang").filter(f"lang = '{one}'").collect()]
+        ce, n = language_id.cross_entropies(texts, [m])
+        ce = ce[:, 0]
+        mean = np.median(ce)
+        per_char, per_doc = np.sqrt(np.median(n * (ce - mean) ** 2) / 0.455) + 0.5, np.median(np.abs(ce - mean)) * 1.5 + 0.05
+        k = 1.5 * max(4.0, np.quantile((ce - mean) / np.sqrt(per_char**2 / n + per_doc**2), 0.999))
+        assert np.allclose(limit, (mean, k * per_char, k * per_doc), rtol=1e-9)
+
+
+def test_order_statistics_equal_sorting(spark):
+    r = np.random.default_rng(4)
+    rows = [("ab"[i % 3 == 0], float(x), 1) for i, x in enumerate(np.concatenate([r.normal(0, 1e-3, 200), r.integers(-2, 3, 100)]))]
+    table = spark.createDataFrame(rows, "lang string, ce double, chars long")
+    values = {one: sorted(x for lang, x, _ in rows if lang == one) for one in "ab"}
+    found = language_id.order_statistics(table, lambda one, ce, n: ce, {one: set(range(0, len(v), 7)) for one, v in values.items()})
+    assert found == {one: {i: v[i] for i in range(0, len(v), 7)} for one, v in values.items()}
