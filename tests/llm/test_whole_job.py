@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import language_id, line_dedup, queries, secrets
+from tessera.llm import language_id, line_dedup, packing, queries, secrets
 
 
 def test_every_copy_of_a_secret_is_redacted():
@@ -75,3 +75,14 @@ def test_order_statistics_equal_sorting(spark):
     values = {one: sorted(x for lang, x, _ in rows if lang == one) for one in "ab"}
     found = language_id.order_statistics(table, lambda one, ce, n: ce, {one: set(range(0, len(v), 7)) for one, v in values.items()})
     assert found == {one: {i: v[i] for i in range(0, len(v), 7)} for one, v in values.items()}
+
+
+def test_added_tokens_have_their_ids():
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(queries.vocabulary()), packing.Encoder(queries.vocabulary())
+    mark = "<|endoftext|>"
+    texts = [f"hello {mark} world", mark, mark * 2, f"a{mark}b  {mark}\n c", "none here", "", f" {mark} ", "<|endoftext|"]
+    made = [np.frombuffer(x, dtype="<u4").tolist() for x in ours.encode(texts)]
+    assert made == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    assert made[0] == [31373, 220, 50256, 995]
