@@ -303,14 +303,9 @@ def telling(flat: np.ndarray, off: np.ndarray, labels: np.ndarray, share: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000) -> ToxicityModel:
-    """Character counts cover all documents; the regression uses at most ``max_rows`` labelled rows
+    """Character counts cover all documents and every trigram; the regression uses at most ``max_rows`` labelled rows
     (the lowest id hashes among those with crc32 of the id as text not 0 modulo 5)."""
-    counted = count_trigrams(docs, text_col)
-
-
-    table = materialise(counted, "trigrams")
-    # An alphabet bounds its trigrams; should scripts with many characters exceed the bound, the most frequent stay.
-    got = table.orderBy(F.desc("n"), "gram").limit(2_000_000).toArrow()
+    got = materialise(count_trigrams(docs, text_col), "trigrams").toArrow()
     model = ToxicityModel(CharModel(dict(zip(got["gram"].to_pylist(), got["n"].to_pylist()))))
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     known = known.groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(max_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import language_id, line_dedup, packing, queries, secrets
+from tessera.llm import language_id, line_dedup, packing, queries, secrets, toxicity
 
 
 def test_every_copy_of_a_secret_is_redacted():
@@ -86,3 +86,12 @@ def test_added_tokens_have_their_ids():
     made = [np.frombuffer(x, dtype="<u4").tolist() for x in ours.encode(texts)]
     assert made == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
     assert made[0] == [31373, 220, 50256, 995]
+
+
+def test_character_model_holds_every_trigram(spark, monkeypatch):
+    docs = spoken(spark, en=8, zh=2)
+    want = {r.gram: r.n for r in toxicity.count_trigrams(docs, "text").collect()}
+    kind, few = type(docs), type(docs).limit
+    monkeypatch.setattr(kind, "limit", lambda self, n: few(self, 2 if n >= 1_000_000 else n))
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert len(want) > 2 and model.restorer.model.three == want
