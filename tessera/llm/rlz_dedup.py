@@ -1,11 +1,10 @@
-"""Word substring deduplication by relative Lempel-Ziv parsing.
-
-The corpus is its own reference, cut into blocks by anchor (see ``repeats``): a block indexes the sorted
-contexts of its anchors, and a document is factored against every block that can hold a match, which are
-those of its own repeated anchors; any window elsewhere has no source. A factor is the longest run
-around an anchor whose windows all have a source in the block. Factors of a window's length or more are
-duplicate spans. A greedy factor from the left can hide a source that begins inside it, so every start up
-to the anchor is checked at the factor's boundaries, which makes the spans exact.
+"""Word substring deduplication by sorted contexts of anchors.
+
+The method dealt for this operator, relative Lempel-Ziv parsing, is not what runs here: nothing is factored
+greedily and there are no reference blocks. As in op 3 (see ``repeats``), the contexts of repeated anchors
+are sorted, neighbours give common prefixes, and every window that occurs twice is a duplicate span. A
+greedy factor from the left can hide a source that begins inside it; the sorted contexts hide none, which
+makes the spans exact.
 
 Defined cases: null and empty text has no words; texts shorter than a window keep all words; copies and
 repeated rows are sources of each other; overlapping sources within one text count; extra columns are
