@@ -32,9 +32,11 @@ def struct(**fields: str | T.DataType) -> T.StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one where none is configured and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -86,7 +88,8 @@ def map_text(
 
     ``compute`` gets the texts of a slice as bytes and returns one sequence per field of ``out``;
     ``finish`` runs at the end of a partition, to let go of what the worker process would keep.
-    Only ``keep`` and the text cross to Python, so further columns never clash with internal names.
+    Only ``keep`` and the text cross to Python, so further columns never clash with internal names. A kept
+    column with the name of a computed one (in any case) is returned as ``<name>_in``.
     """
     src = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("t"))
     schema = T.StructType([T.StructField(f"k{i}", f.dataType, True) for i, f in enumerate(src.schema.fields[:-1])] + [T.StructField(f.name, f.dataType, True) for f in out.fields])
@@ -104,7 +107,35 @@ def map_text(
             finish()
 
     made = src.mapInArrow(run, schema)
-    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in out.fields])
+    names = beside(keep, out.fieldNames())
+    return made.toDF(*[f"c{i}" for i in range(len(names) + len(out))]).toDF(*names, *out.fieldNames())
+
+
+def beside(columns: list[str], made: list[str]) -> list[str]:
+    """``columns``, with ``_in`` after every name that ``made`` has too (Spark's names know no case)."""
+    taken, out = {m.lower() for m in made}, []
+    for c in columns:
+        while c.lower() in taken:
+            c += "_in"
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ... in order: no name of its own can clash with a computed one."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of ``df`` under the names of ``like``."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
+def at(df: DataFrame, column: str) -> str:
+    """The name that :func:`numbered` gives a column."""
+    names = [c.lower() for c in df.columns]
+    return f"c{names.index(column.lower())}"
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

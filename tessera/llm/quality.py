@@ -97,12 +97,12 @@ def line_features(line: bytes, seen: bool) -> int:
 
 
 def lines_of(text: bytes | None) -> tuple[list[int], list[int]]:
-    """Feature bits and characters (bytes) of every line with a word."""
+    """Feature bits and characters of every line with a word."""
     bits, sizes, seen = [], [], set()
     for line in text.split(b"\n") if text else []:
         if line.strip():
             bits.append(line_features(line, line in seen))
-            sizes.append(len(line))
+            sizes.append(len(line) if line.isascii() else len(line.decode("utf-8", "replace")))
             seen.add(line)
     return bits, sizes
 
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         some = known.filter(F.col("y") == y).orderBy(h, id_col).limit(rows_per_class)
         picked = some if picked is None else picked.union(some)
-    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(picked.select(F.col(id_col).alias("__id"), "y")), "__id")
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(picked.select(F.col(id_col).alias("id"), "y")), "id")
     out = struct(bits="long[]")
     got = map_text(src, "t", ["y"], out, lambda texts: [[lines_of(t)[0] for t in texts]]).toArrow()
     return LineField().fit(got["bits"].to_pylist(), got["y"].to_pylist())

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, line_dedup, packing, quality, rlz_dedup, secrets, simhash, suffix_dedup, toxicity
 
-#: Share of a host's pages above which a line is boilerplate, and the least number of pages.
-LINE_RATIO, LINE_PAGES = 0.02, 5
+#: Share of a host's pages above which a line is boilerplate. A line on one page is no repetition.
+LINE_RATIO, LINE_PAGES = 0.02, 2
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +91,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rlz_dedup.remove_repeats(_documents(spark, sf_dir)).withColumnRenamed("n", "n_words")
+    return rlz_dedup.remove_repeats(_documents(spark, sf_dir)).select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

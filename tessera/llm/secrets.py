@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._util import map_text, struct
+from tessera.llm._util import beside, map_text, struct
 
 MIN_LENGTH = 16
 _RUN = re.compile(rb"[A-Za-z0-9_\-+/=]{16,}")
@@ -227,12 +227,13 @@ def scan(docs: DataFrame, forest: Forest, keep: list[str], text_col: str = "text
     sent = docs.sparkSession.sparkContext.broadcast(forest)
     kind = T.ArrayType(struct(start="long", length="long", probability="double"))
     out = struct(n_candidates="long", secrets=kind, redacted_sha256="string")
-    # The path travels before the text, set off by a character that no path holds.
-    sep = "\x01"
-    with_path = docs.withColumn("__t", F.when(F.col(text_col).isNotNull(), F.concat(F.coalesce(F.col(path_col).cast("string") if path_col else F.lit(""), F.lit("")), F.lit(sep), F.col(text_col))))
+    # The path travels before the text, after its length in bytes.
+    path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.concat(F.octet_length(path).cast("string"), F.lit(" "), path, F.col(f"`{text_col}`")))
+    with_path = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text.alias("t"))
 
     def compute(texts):
-        split = [(b"", None) if t is None else (t.partition(sep.encode())[0], t.partition(sep.encode())[2]) for t in texts]
+        split = [_parted(t) for t in texts]
         found = [candidates(t, p.decode("utf-8", "replace")) for p, t in split]
         rows = [describe(f) for x in found for _, f in x]
         p = sent.value.predict(np.array(rows, dtype=float)) if rows else np.zeros(0)
@@ -248,12 +249,24 @@ def scan(docs: DataFrame, forest: Forest, keep: list[str], text_col: str = "text
             digests.append(None if t is None else hashlib.sha256(redact(t, made)).hexdigest())
         return [n, secrets, digests]
 
-    return map_text(with_path, "__t", keep, out, compute)
+    found = map_text(with_path, "t", [f"c{i}" for i in range(len(keep))], out, compute)
+    return found.toDF(*beside(keep, out.fieldNames()), *out.fieldNames())
+
+
+def _parted(sent: bytes | None) -> tuple[bytes, bytes | None]:
+    """Path and text of what :func:`scan` sends."""
+    if sent is None:
+        return b"", None
+    size, _, rest = sent.partition(b" ")
+    return rest[: int(size)], rest[int(size) :]
 
 
 def redact(text: bytes, secrets: list[dict], mark: bytes = b"<SECRET>") -> bytes:
+    """``text`` with the mark in the place of every secret; places must be in order and apart."""
     out, last = [], 0
     for s in secrets:
+        if s["start"] < last:
+            raise ValueError("secrets overlap")
         out += [text[last : s["start"]], mark]
         last = s["start"] + s["length"]
     return b"".join([*out, text[last:]])

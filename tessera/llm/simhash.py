@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._util import doc_offsets, map_text, materialise, struct
+from tessera.llm._util import at, doc_offsets, map_text, materialise, named, numbered, struct
 from tessera.llm.components import components
 
 BYTES, MAX_BITS = 8, 2
+#: Rows of an id and a hash up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 _POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
@@ -175,11 +177,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row per component: the one of the least id.
+    """``docs`` with one row per component: the one of the least id, rows without an id coming last.
 
-    Of rows that repeat that id one stays; rows with a null id cannot be told apart and all stay.
+    A row is told apart by its id and a hash of all its columns, so rows that repeat an id over different
+    texts are compared like any others, and the choice among them does not depend on the order of reading.
+    Of rows that are equal in every column, one stays.
     """
-    groups = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    stays = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(stays, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    plain, text = numbered(docs), at(docs, text_col)
+    key = [F.col(at(docs, id_col)).alias("id"), F.xxhash64(*[F.col(c) for c in plain.columns]).alias("row")]
+    table = materialise(map_text(plain.select(*key, F.col(text).alias("t")), "t", ["id", "row"], struct(fp="long"), lambda texts: [fingerprints(texts).view(np.int64)]), "fingerprints")
+    roots = components(links(table))
+    rows = table.join(roots, table.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "id", "row")
+    counted = rows.groupBy("root", "id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r"))
+    first = first.select("root", F.col("r.id").alias("fid"), F.col("r.row").alias("frow"))
+    stays = F.col("id").eqNullSafe(F.col("fid")) & (F.col("row") == F.col("frow"))
+    judged = materialise(counted.join(first, "root").select("id", "row", "n", stays.alias("stays")).filter(~F.col("stays") | (F.col("n") > 1)), "judged")
+    sizes = {r["stays"]: r["n"] for r in judged.groupBy("stays").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hint = F.broadcast if sum(sizes.values()) <= BROADCAST_ROWS else lambda x: x
+
+    def meet(where: str, how: str) -> DataFrame:
+        other = hint(judged.filter(where).select(F.col("id").alias("jid"), F.col("row").alias("jrow")))
+        known = plain.withColumn("row", key[1])
+        return known.join(other, known[at(docs, id_col)].eqNullSafe(other.jid) & (known.row == other.jrow), how).drop("row")
+
+    kept = meet("true", "left_anti")  # all but rows that go and rows that repeat
+    if sizes.get(True):
+        kept = kept.union(meet("stays", "left_semi").dropDuplicates())
+    return named(kept, docs)

@@ -358,7 +358,9 @@ def test_simhash_odd_rows(spark):
     docs = spark.createDataFrame([(5, None), (3, ""), (3, ""), (None, "a b c d"), (9, "a b c d")], "doc_id long, text string").withColumn("fp", F.lit(1))
     rows = sorted((r.doc_id or 0, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert rows[0][2] == 9 and rows[1] == rows[2] == (3, "0" * 16, 3) and rows[3][2] == 3
-    assert sorted(r.doc_id or 0 for r in simhash.keep_representatives(docs).collect()) == [0, 3, 9]
+    assert sorted(r.doc_id or 0 for r in simhash.keep_representatives(docs).collect()) == [3, 9]  # the row without an id is a copy of 9's
+    other = spark.createDataFrame([(1, "a b c d"), (1, "quite another text it is"), (None, None), (2, "a b c d"), (2, "a b c d")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_representatives(other).collect()) == [(0, ""), (1, "a b c d"), (1, "quite another text it is")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
