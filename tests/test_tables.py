@@ -346,6 +346,7 @@ def test_entry_reports_other_missing_modules(monkeypatch):
     for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tessera.llm")]:
         monkeypatch.delitem(sys.modules, m)
     monkeypatch.setattr(sys, "meta_path", [Absent("tessera.llm._util"), *sys.meta_path])
-    if os.path.exists(os.path.join(os.path.dirname(e.__file__), "corpus_pipeline.py")):
+    root = os.path.dirname(e.__file__)
+    if all(os.path.exists(os.path.join(root, x)) for x in ("corpus_pipeline.py", "tessera/llm/queries.py")):
         with pytest.raises(ModuleNotFoundError):
             e.queries()
