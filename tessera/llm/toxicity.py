@@ -2,15 +2,19 @@
 
 A character language model (interpolated trigrams over the words of the whole corpus) and a channel
 (leetspeak stands for letters, letters are spaced out, letters are repeated) restore disguised words:
-every disguised word is a lattice of characters, and Viterbi decoding finds its likeliest plain form.
-The restored text is scored by a logistic regression over hashed words and word beginnings.
+a disguised stretch of text is a lattice of characters, in which a leet character is one of its letters or
+no letter, a run of equal letters is one or two of them, and a separator is nothing or a word break.
+Viterbi decoding finds its likeliest plain words. The restored text is scored by a logistic regression over
+hashed words and word beginnings.
 
-Only tokens with a sign of disguise are decoded: leet characters before or between letters, or three
-equal letters in a row. Letters standing alone in a row, or with dots or dashes between, are one word.
+Only stretches with a sign of disguise are decoded: leet characters before, between or after letters, three equal
+letters in a row, a letter alone between dots, dashes or underscores, or three and more single letters or
+leet characters between blanks.
 
 Defined cases: null, empty and wordless texts get the model's base rate; without labelled rows every score is
 0.0; rows with null labels or ids are not learned from; labels that contradict each other for one id count
-with their maximum; extra columns are ignored.
+with their maximum; words of any length are decoded, in steps linear in it; extra columns are ignored, whatever their
+names; an empty table gives an empty result; repeated rows are scored each for itself.
 """
 
 from __future__ import annotations
@@ -25,18 +29,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._util import doc_offsets, map_text, materialise, slices, struct, sum_by_run, texts_of
+from tessera.llm._util import doc_offsets, map_text, materialise, slices, struct, texts_of
 
 #: What leet characters may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
+SEPARATORS = " ._-"
 _LEET_CLASS = "".join(re.escape(c) for c in LEET)
-_WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
-_APART = re.compile(r"[^\W\d_](?:[._\-][^\W\d_]){2,}", re.UNICODE)
-_DISGUISED = re.compile(rf"[^\W\d_][{_LEET_CLASS}]+[^\W\d_]|^[{_LEET_CLASS}]+[^\W\d_]|([^\W\d_])\1\1", re.UNICODE)
+_LETTER = r"[^\W\d_]"
+_WORD = re.compile(rf"{_LETTER}+", re.UNICODE)
+_DISGUISED = re.compile(rf"{_LETTER}[{_LEET_CLASS}]+{_LETTER}|^[{_LEET_CLASS}]+{_LETTER}|{_LETTER}[\d$@]+$|({_LETTER})\1\1|(?:^|[._\-]){_LETTER}[._\-]+{_LETTER}|{_LETTER}[._\-]+{_LETTER}(?:$|[._\-])| ", re.UNICODE)
+_GAPS = re.compile(r"\s+")
+_SPACED = set("0123456789@$!")
 _QUOTES = "\"'(["
-_EDGES = ".,;:!?\"')(*$#%&|"
-DIMENSIONS = 1 << 20
-END = "\n"
+_EDGES = ".,;:!?\"')(*#%&|+[]"
+#: Up to so many digits or signs after a word's last letter may be letters; more are an ornament.
+_TAIL = re.compile(r"(?:\d{3,}|[$@]{3,}|[\d$@]{5,})$")
+#: Costs of the channel: a letter as leet; a repetition (two for more, one for two); a leet character between
+#: letters or before them that is no letter, one of the usual marks before a word, one after a word; a separator
+#: within a word, a break between single letters.
+LEET_COST, DOUBLE_COST, KEEP_COST, MARK_COST, TAIL_COST, JOIN_COST, BREAK_COST = 1.0, 2.0, 12.0, 1.0, 2.5, 4.0, 4.0
+DIMENSIONS = 1 << 26
+END, BREAK = "\n", " "
 
 
 class CharModel:
@@ -52,51 +65,83 @@ class CharModel:
             self.ctx1[g[1]] += n
         self.total = sum(self.one.values())
         self.kinds = len(self.one) + 1
+        self.known: dict[tuple[str, str, str], float] = {}
 
     def logp(self, a: str, b: str, c: str) -> float:
-        p = (self.one.get(c, 0) + 0.5) / (self.total + 0.5 * self.kinds)
-        if n := self.ctx1.get(b):
-            p = 0.2 * p + 0.8 * self.two.get(b + c, 0) / n
-        if n := self.ctx2.get(a + b):
-            p = 0.15 * p + 0.85 * self.three.get(a + b + c, 0) / n
-        return float(np.log(max(p, 1e-12)))
-
+        got = self.known.get((a, b, c))
+        if got is None:
+            p = (self.one.get(c, 0) + 0.5) / (self.total + 0.5 * self.kinds)
+            if n := self.ctx1.get(b):
+                p = 0.2 * p + 0.8 * self.two.get(b + c, 0) / n
+            if n := self.ctx2.get(a + b):
+                p = 0.15 * p + 0.85 * self.three.get(a + b + c, 0) / n
+            got = float(np.log(max(p, 1e-12)))
+            if len(self.known) < 500_000:  # a memory, not a bound on the model
+                self.known[a, b, c] = got
+        return got
 
-def decode(word: str, model: CharModel, keep_cost: float = 12.0, double_cost: float = 2.0) -> str:
-    """The likeliest plain form of one disguised word.
 
-    The lattice has a column per run of equal characters: a letter stands for itself (a run of it for
-    one or two), a leet character for one of its letters, or, at ``keep_cost``, for itself. Viterbi runs over
-    states of the last two plain characters.
-    """
+def lattice(stretch: str) -> list[list[tuple[str, float]]]:
+    """The columns of a disguised stretch: per run of equal characters, what it may have been and its cost."""
     runs, i = [], 0
-    while i < len(word):
+    while i < len(stretch):
         j = i
-        while j < len(word) and word[j] == word[i]:
+        while j < len(stretch) and stretch[j] == stretch[i]:
             j += 1
-        runs.append((word[i], j - i))
+        runs.append((stretch[i], j - i))
         i = j
-    best = {("^", "^"): (0.0, "")}
-    for c, n in runs:
+    letters = [i for i, (c, _) in enumerate(runs) if c.isalpha()]
+    first, last = (letters[0], letters[-1]) if letters else (0, -1)
+    alone = lambda i: 0 <= i < len(runs) and runs[i][1] == 1 and all(not 0 <= k < len(runs) or runs[k][0] in SEPARATORS for k in (i - 1, i + 1))
+    times = lambda n: [(1, 0.0)] if n == 1 else [(1, DOUBLE_COST), (2, 0.0)] if n == 2 else [(1, 0.0), (2, DOUBLE_COST)]
+    columns = []
+    for i, (c, n) in enumerate(runs):
         if c in LEET:
-            ways = [(o * k, 1.0 + (double_cost if k > 1 else 0.0)) for o in LEET[c] for k in ((1, 2) if n > 1 else (1,))] + [(c * n, keep_cost)]
+            ways = [(o * k, LEET_COST + cost) for o in LEET[c] for k, cost in times(n)]
+            ways.append((BREAK, TAIL_COST if i > last else MARK_COST if i < first and c not in _SPACED else KEEP_COST))
+        elif c == " " and n > 1:
+            ways = [(BREAK, 0.0)]
+        elif c in SEPARATORS:
+            single = alone(i - 1) or alone(i + 1)
+            ways = [("", 0.0 if single else JOIN_COST), (BREAK, BREAK_COST if single else 0.0)]
+        elif c.isalpha():
+            ways = [(c * k, cost) for k, cost in times(n)]
         else:
-            ways = [(c, 0.0)] + ([(c * 2, 0.0 if n == 2 else double_cost)] if n > 1 else [])
-        after: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (score, made) in best.items():
+            ways = [(BREAK, 0.0)]
+        columns.append(ways)
+    return columns
+
+
+def decode(stretch: str, model: CharModel) -> list[str]:
+    """The likeliest plain words of a disguised stretch: Viterbi over states of the last two plain characters."""
+    best = {("^", "^"): (0.0, None)}  # state: (score, chain of what was emitted)
+    for ways in lattice(stretch):
+        after: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (score, chain) in best.items():
             for chars, cost in ways:
                 x, y, s = a, b, score - cost
-                for ch in chars:
-                    s += model.logp(x, y, ch)
-                    x, y = y, ch
-                if (x, y) not in after or s > after[x, y][0]:
-                    after[x, y] = (s, made + chars)
+                if chars == BREAK:
+                    if y != "^":
+                        s += model.logp(x, y, END)
+                    x, y = "^", "^"
+                else:
+                    for ch in chars:
+                        s += model.logp(x, y, ch)
+                        x, y = y, ch
+                held = after.get((x, y))
+                if held is None or s > held[0]:
+                    after[x, y] = (s, (chain, chars) if chars else chain)
         best = after
-    return max((score + model.logp(x, y, END), made) for (x, y), (score, made) in best.items())[1]
+    _, chain = max(((s + (model.logp(x, y, END) if y != "^" else 0.0), c) for (x, y), (s, c) in best.items()), key=lambda v: v[0])
+    made = []
+    while chain:
+        chain, chars = chain
+        made.append(chars)
+    return "".join(reversed(made)).split()
 
 
 class Restorer:
-    """Restores whole texts, blank-separated token by token; results are remembered up to a bound."""
+    """Restores whole texts, token by token; results are remembered up to a bound."""
 
     def __init__(self, model: CharModel, limit: int = 300_000):
         self.model, self.limit, self.known = model, limit, {}
@@ -107,54 +152,67 @@ class Restorer:
         if got is None:
             if len(self.known) >= self.limit:
                 self.known.clear()
-            if token.isalpha() and not _DISGUISED.search(token):
-                plain = token
+            core = token if token.isalpha() else _core(token)
+            if _DISGUISED.search(core):
+                got = tuple(w for x in decode(core, self.model) for w in _WORD.findall(x))
             else:
-                plain = token.strip(_EDGES) or token
-                if _APART.fullmatch(plain):
-                    plain = re.sub(r"[._\-]", "", plain)
-                # What encloses a word is no part of its lattice; overlong runs are no words.
-                core = token.rstrip(_EDGES).lstrip(_QUOTES) if token[:1] in LEET else plain
-                if len(core) <= 64 and _DISGUISED.search(core):
-                    plain = decode(core, self.model)
-            got = self.known[token] = tuple(_WORD.findall(plain))
+                got = tuple(_WORD.findall(core))
+            self.known[token] = got
         return got
 
     def tokens(self, text: str) -> list[str]:
-        """Lower-case tokens; three or more letters standing alone in a row are one token."""
+        """Lower-case tokens; three or more letters and leet characters standing alone in a row are one token."""
         split = text.lower().split()
-        alone = [i for i, t in enumerate(split) if len(t) == 1 and t.isalpha()]
+        alone = [i for i, t in enumerate(split) if len(t) == 1 and (t.isalpha() or t in _SPACED)]
         if not any(a + 2 == c for a, c in zip(alone, alone[2:])):
             return split
-        out, i = [], 0
-        while i < len(split):
-            j = i
-            while j < len(split) and len(split[j]) == 1 and split[j].isalpha():
-                j += 1
-            if j - i >= 3:
-                out.append("".join(split[i:j]))
-                i = j
-            else:
-                out.append(split[i])
-                i += 1
-        return out
+        gaps = _GAPS.findall(text.strip())  # one after every token: wide ones end a word
+        out, at, k = [], 0, 0
+        while k < len(alone):
+            e = k
+            while e + 1 < len(alone) and alone[e + 1] == alone[e] + 1:
+                e += 1
+            if e - k >= 2 and sum(split[i].isalpha() for i in alone[k : e + 1]) >= 2:
+                out += split[at : alone[k]]
+                here = range(alone[k], alone[e] + 1)
+                out.append("".join(split[i] + ("" if i == alone[e] else "  " if len(gaps[i]) > 1 else " ") for i in here))
+                at = alone[e] + 1
+            k = e + 1
+        return out + split[at:]
 
     def words(self, text: str) -> list[str]:
         """The plain words of a text (lower case), disguised ones restored."""
         return [w for t in self.tokens(text) for w in self.token(t)]
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Distinct hashed features: each word and its beginnings of three to five letters."""
-    return np.array(sorted(hashes(set(words))), dtype=np.int32)
+def _core(token: str) -> str:
+    """A token without the punctuation and ornaments around it; leet characters that may be letters stay."""
+    while True:
+        core = _TAIL.sub("", token.rstrip(_EDGES)).lstrip(_QUOTES)
+        if core[:1] not in LEET:
+            core = core.lstrip(_EDGES)
+        if core == token or not core:
+            return core
+        token = core
 
 
-def hashes(words: set[str]) -> set[int]:
-    made = set(words)
-    for k in (3, 4, 5):
-        made.update([f"{k}{w[:k]}" for w in words if len(w) > k])
+def features(words: list[str]) -> np.ndarray:
+    """Distinct hashed features: each word, its beginnings of three to eight letters, and beginnings that
+    several words of the text share."""
+    made, shared = set(), Counter()
+    for w in set(words):
+        once, twice = hashes(w)
+        made.update(once)
+        shared.update(twice)
+    made.update(h for h, n in shared.items() if n > 1)
+    return np.array(sorted(made), dtype=np.int32)
+
+
+def hashes(word: str) -> tuple[list[int], list[int]]:
+    """The features of a word, and those that stand if another word has them too."""
     h = xxhash.xxh64_intdigest
-    return {h(w) % DIMENSIONS for w in made}
+    starts = [f"{k}{word[:k]}" for k in range(3, 9) if len(word) > k]
+    return [h(x) % DIMENSIONS for x in (word, *starts)], [h("2" + x) % DIMENSIONS for x in starts]
 
 
 def count_trigrams(docs: DataFrame, text_col: str) -> DataFrame:
@@ -183,19 +241,27 @@ class ToxicityModel:
     """The restorer and the regression over features of restored texts."""
 
     def __init__(self, chars: CharModel):
-        self.restorer, self.weight, self.bias = Restorer(chars), np.zeros(DIMENSIONS, dtype=np.float32), -np.inf
-        self.weighted: dict[str, frozenset] = {}
-        self.used: frozenset[int] = frozenset()
+        self.restorer, self.weight, self.bias = Restorer(chars), {}, -np.inf
+        self.telling: dict[str, tuple] = {}
 
     def extract(self, texts: list[bytes | None]) -> list[np.ndarray]:
         return [features(self.restorer.words(t.decode("utf-8", "replace"))) if t else np.zeros(0, np.int32) for t in texts]
 
+    def _weighted(self, token: str) -> tuple:
+        """(word, its weighted features, its weighted shared features) of a token's words that have any."""
+        out = []
+        for w in self.restorer.token(token):
+            once, twice = ([h for h in hs if h in self.weight] for hs in hashes(w))
+            if once or twice:
+                out.append((w, tuple(once), tuple(twice)))
+        return tuple(out)
+
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        """Scores in [0, 1]. Which weighted features a word has is remembered per word, up to a bound."""
+        """Scores in [0, 1]. Which weighted features a token has is remembered, up to a bound."""
         if not np.isfinite(self.bias):
             return np.zeros(len(texts))
         z = np.full(len(texts), self.bias)
-        known = self.weighted
+        known = self.telling
         for i, t in enumerate(texts):
             if not t:
                 continue
@@ -203,9 +269,12 @@ class ToxicityModel:
             if len(known) > 600_000:
                 known.clear()
             for token in tokens.difference(known):
-                known[token] = frozenset(h for w in self.restorer.token(token) for h in hashes({w}) if h in self.used)
-            if found := set().union(*map(known.__getitem__, tokens)):
-                z[i] += float(self.weight[list(found)].sum())
+                known[token] = self._weighted(token)
+            found = {x for token in tokens for x in known[token]}
+            if found:
+                made = {h for _, once, _ in found for h in once}
+                made.update(h for h, n in Counter(h for _, _, twice in found for h in twice).items() if n > 1)
+                z[i] += sum(map(self.weight.__getitem__, sorted(made)))
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 500, rate: float = 0.3, l2: float = 1e-6) -> ToxicityModel:
@@ -233,8 +302,7 @@ class ToxicityModel:
             gb += err.sum() ** 2
             w += rate * g / np.sqrt(gw)
             b += rate * err.sum() / np.sqrt(gb)
-        self.weight[used] = w
-        self.used = frozenset(np.flatnonzero(self.weight).tolist())
+        self.weight = {int(h): float(x) for h, x in zip(used, w) if x}
         self.bias = _bias(np.bincount(doc, w[place], len(rows)), labels)
         return self
 
@@ -309,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = ToxicityModel(CharModel(dict(zip(got["gram"].to_pylist(), got["n"].to_pylist()))))
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     known = known.groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(max_rows)
-    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(known.select(F.col(id_col).alias("__id"), "y")), "__id")
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(known.select(F.col(id_col).alias("id"), "y")), "id")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = map_text(src, "t", ["y"], struct(f="int[]"), lambda texts: [sent.value.extract(texts)]).toArrow()
     flat = rows["f"].combine_chunks()
