@@ -7,10 +7,12 @@ packing patterns, whose columns are priced by a knapsack dynamic program. Patter
 left over is packed by best fit, and documents, ranked within their length, take the places of the
 patterns in order. A sequence's pieces lie without gaps, so rounding lengths up only costs its end.
 
-Ranks are counted per (length, salt) so that a length that a third of all documents share is spread.
+Ranks are counted per (length, salt of the row number) so that a length that a third of all documents share
+is spread.
 
 Defined cases: null and empty text is the closing id alone; repeated rows are packed each for itself;
-rows with a null id are packed too; extra columns are ignored; an empty table gives no piece.
+rows with a null id are packed too; extra columns are ignored, whatever their names; an empty table gives no
+piece; long texts are cut into as many pieces as they need.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -344,29 +346,50 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     return {"size": table[:, 0], "rank": table[:, 1], "per": table[:, 2], "sequence": table[:, 3], "slot": table[:, 4], "sequences": sequence}
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = CAPACITY, rows_per_salt: int = 4_000) -> DataFrame:
+def _before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def first_ranks(groups: DataFrame, group_salts: int) -> DataFrame:
+    """(rest, salt, first, first_whole): rows of the same rest, and whole pieces of all rows, before a group's own.
+
+    Sums run in two levels, over the salts of a range and over ranges, so that no task orders all
+    salts: the upper level has a row per rest and ``group_salts`` salts.
+    """
+    groups = groups.withColumn("range", F.floor(F.col("salt") / group_salts))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    upper = groups.groupBy("rest", "range").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole"))
+    upper = upper.select("rest", "range", zero(F.sum("n").over(_before(Window.partitionBy("rest").orderBy("range")))).alias("n0"))
+    ranges = groups.groupBy("range").agg(F.sum("whole").alias("whole"))
+    ranges = ranges.select("range", zero(F.sum("whole").over(_before(Window.orderBy("range")))).alias("w0"))
+    inside = groups.select(
+        "rest",
+        "salt",
+        "range",
+        zero(F.sum("n").over(_before(Window.partitionBy("rest", "range").orderBy("salt")))).alias("n1"),
+        zero(F.sum("whole").over(_before(Window.partitionBy("range").orderBy("salt", "rest")))).alias("w1"),
+    )
+    return inside.join(upper, ["rest", "range"]).join(ranges, "range").select("rest", "salt", (F.col("n0") + F.col("n1")).alias("first"), (F.col("w0") + F.col("w1")).alias("first_whole"))
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = CAPACITY, rows_per_salt: int = 4_000, group_salts: int = 1_000) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Whole pieces have sequences of their own, numbered after those of the remainders.
     """
     cut = token_pieces(docs, [id_col], text_col, vocabulary, capacity).select(F.col(f"`{id_col}`").alias("id"), "doc_tokens", "pieces")
-    cut = materialise(cut, "pieces")
+    cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     total = cut.count()
     salts = max(1, -(-total // rows_per_salt))
     rest = F.ceil(F.col("doc_tokens") % capacity / UNIT).cast("int")
-    cut = cut.withColumn("rest", rest).withColumn("salt", F.pmod(F.xxhash64("id", "doc_tokens"), F.lit(salts)).cast("int")).withColumn("whole", F.floor(F.col("doc_tokens") / capacity))
+    # Salts come from row numbers, so that rows which agree in all they hold are spread too.
+    cut = cut.withColumn("rest", rest).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))).withColumn("whole", F.floor(F.col("doc_tokens") / capacity))
     groups = cut.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole"))
     histogram = {r["rest"]: r["n"] for r in groups.groupBy("rest").agg(F.sum("n").alias("n")).collect() if r["rest"]}  # at most capacity / UNIT rows
     table = plan(histogram, capacity // UNIT)
-    # (rest, salt) is bounded by capacity x salts; the first ranks are found there, per size and overall.
-    from pyspark.sql import Window
-
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    by_salt = groups.groupBy("salt").agg(F.sum("whole").alias("w")).select("salt", F.coalesce(F.sum("w").over(before(Window.orderBy("salt"))), F.lit(0)).alias("whole_salt"))
-    firsts = groups.select("rest", "salt", F.coalesce(F.sum("n").over(before(Window.partitionBy("rest").orderBy("salt"))), F.lit(0)).alias("first"), F.coalesce(F.sum("whole").over(before(Window.partitionBy("salt").orderBy("rest"))), F.lit(0)).alias("whole_before"))
-    firsts = firsts.join(by_salt, "salt").select("rest", "salt", "first", (F.col("whole_salt") + F.col("whole_before")).alias("first_whole"))
-    w = Window.partitionBy("rest", "salt").orderBy("id", "doc_tokens", F.col("pieces").cast("string"))
-    ranked = cut.withColumn("r", F.row_number().over(w) - 1).withColumn("wr", F.coalesce(F.sum("whole").over(before(w)), F.lit(0)))
+    firsts = first_ranks(groups, group_salts)
+    w = Window.partitionBy("rest", "salt").orderBy("row")
+    ranked = cut.withColumn("r", F.row_number().over(w) - 1).withColumn("wr", F.coalesce(F.sum("whole").over(_before(w)), F.lit(0)))
     ranked = ranked.join(firsts, ["rest", "salt"])
     ranked = ranked.select("id", "doc_tokens", "pieces", F.col("rest").cast("long").alias("rest"), (F.col("first") + F.col("r")).alias("rank"), (F.col("first_whole") + F.col("wr")).alias("whole_rank"))
     sent = docs.sparkSession.sparkContext.broadcast(table)
@@ -393,6 +416,6 @@ def pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
             cols = [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc), b.column(1).take(pa.array(doc)), pa.array(sequence), pa.array(np.where(last, off[doc], 0))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
-    in_order = before(Window.partitionBy("sequence_id").orderBy("slot"))  # at most `capacity` rows
+    in_order = _before(Window.partitionBy("sequence_id").orderBy("slot"))  # at most `capacity` rows
     placed = ranked.mapInArrow(place, schema).withColumn("offset", F.coalesce(F.sum("length").over(in_order), F.lit(0)))
     return placed.drop("slot").withColumnRenamed("id", id_col)

@@ -1,20 +1,23 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint is eight (position, byte) terms. Two fingerprints that differ in at most two bits
-share at least six of those terms, so the count filter's guaranteed minimum is six. Instead of tallying
-pairs out of 2,048 long postings, the index is keyed by every choice of six positions with their bytes:
-fingerprints meeting under a key have a tally of six or more, and every such pair meets. What remains
-free under a key are two bytes, so a posting holds at most 65,536 different fingerprints whatever the
-corpus size; there the exact distance is verified and only a spanning forest of the links goes on.
-
-Defined cases: null or blank text has fingerprint zero, linked like any other; copies share a
-fingerprint and are one node; rows with a null id have a fingerprint and take the component's least
-known id (null where it has none); extra columns are ignored.
+A 64-bit fingerprint is eight (position, byte) terms. Two fingerprints that differ in at most two bits share at
+least six of those terms, so the count filter's guaranteed minimum is six. Postings of single terms would hold a
+256th of all documents each; the index is keyed by four positions with their bytes instead (two of four
+pairs of neighbours, at least two of which two near fingerprints share). Within a posting the shared
+positional bytes of every pair are tallied, pairs below the minimum go, and the exact distance of the others is
+verified. A posting beyond a bound is not paired: its members are indexed anew by every choice of six
+positions, where a tally reaches the minimum by meeting, and a posting holds at most 65,536 different
+fingerprints whatever the corpus size. Only a spanning forest of the links goes on.
+
+Defined cases: null or blank text has fingerprint zero, linked like any other; copies and repeated rows
+share a fingerprint and are one node; rows with a null id have a fingerprint and take the component's least
+known id (null where it has none); extra columns are ignored, whatever their names; an empty table gives an empty
+result; long texts are hashed whole.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -120,27 +123,111 @@ def spanning(rest: np.ndarray) -> list[tuple[int, int]]:
     return made
 
 
+#: Members of a posting up to which all its pairs are tallied.
+TALLIED = 512
+#: Postings that are looked at together hold so many rows, always whole.
+CHUNK = 50_000
+
+
+def _pairs_of_blocks() -> list[int]:
+    """The masks of every two of the four neighbouring pairs of bytes."""
+    block = lambda i: 0xFFFF << (16 * i)
+    return [block(i) | block(j) for i, j in combinations(range(4), 2)]
+
+
+def tally(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shared positional bytes and differing bits of pairs of fingerprints."""
+    x = np.ascontiguousarray(a ^ b)
+    same = (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=-1)
+    return same, _POP16[x.view(np.uint16).reshape(*x.shape, 4)].sum(axis=-1)
+
+
+def _posted(fingerprints: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, c, bytes): the postings under every mask, dealt out by term and in its order."""
+    keys = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(_signed(m)).alias("bytes")) for c, m in enumerate(masks)])
+    return fingerprints.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.bytes").repartition("c", "bytes").sortWithinPartitions("c", "bytes")
+
+
 def links(table: DataFrame) -> DataFrame:
     """(u, v): links spanning the same components as all pairs of fingerprints within two bits."""
-    distinct = table.select("fp").distinct()
-    # The posting key holds the choice in the bits that the choice leaves free.
-    keys = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(_signed(mask)).alias("bytes")) for c, (mask, _, _) in enumerate(_choices())])
-    posted = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.bytes")
-    parts = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = posted.repartition(parts, "c", "bytes")
+
+    def run(batches):
+        """Links, and (fp, null) for members of postings beyond the bound."""
+        held, open_ = [np.zeros(0, np.int64)] * 3, None
+        for b in chain(batches, [None]):
+            if b is not None:
+                held = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+                if len(held[0]) < CHUNK:
+                    continue
+            fp, c, key = held
+            if not len(fp):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (c[1:] != c[:-1]))))
+            ends = np.append(starts[1:], len(fp))
+            last = (int(c[-1]), int(key[-1]))
+            u, v, large = [], [], []
+            for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
+                if e - s > TALLIED or (c[s], key[s]) == open_:
+                    large.append(fp[s:e])
+                elif b is not None and i == len(starts) - 1:
+                    break  # may go on in the next batch
+                elif e - s > 1:
+                    x = fp[s:e].view(np.uint64)
+                    same, bits = tally(x[:, None], x[None, :])
+                    for i0, j0 in forest((same >= BYTES - MAX_BITS) & (bits <= MAX_BITS)):
+                        u.append(fp[s + i0])
+                        v.append(fp[s + j0])
+            rest = slice(int(starts[-1]), None) if ends[-1] - starts[-1] <= TALLIED and last != open_ and b is not None else slice(len(fp), None)
+            open_ = last if rest.start == len(fp) else None
+            held = [h[rest] for h in held]
+            large = np.concatenate(large) if large else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([*u, *large.tolist()], pa.int64()), pa.array([*v, *[None] * len(large)], pa.int64())], names=["u", "v"])
+
+    first = materialise(_posted(table.select("fp").distinct(), _pairs_of_blocks()).mapInArrow(run, "u long, v long"), "tallied")
+    found = first.filter("v is not null")
+    refined = first.filter("v is null").select(F.col("u").alias("fp")).distinct()
+    if not refined.isEmpty():
+        found = found.union(_within(refined))
+    return found.distinct()
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of a symmetric matrix."""
+    seen, made = np.zeros(len(near), dtype=bool), []
+    for root in range(len(near)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        stack = [root]
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            made += [(i, j) for j in new.tolist()]
+            stack += new.tolist()
+    return made
+
+
+def _within(fingerprints: DataFrame) -> DataFrame:
+    """(u, v): links among the members of large postings, by choices of six positions."""
     shifts = [(np.uint64(a), np.uint64(b)) for _, a, b in _choices()]
 
     def run(batches):
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
-        if not got:
-            return
-        fp, c, key = (np.concatenate(x) for x in zip(*got))
-        for choice in np.unique(c):
-            pick = c == choice
-            a, b = shifts[choice]
-            yield _link_postings(fp[pick].view(np.uint64), key[pick], a, b)
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+        held = [np.zeros(0, np.int64)] * 3
+        for b in chain(batches, [None]):
+            if b is not None:
+                held = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+                if len(held[0]) < CHUNK:
+                    continue
+            fp, c, key = held
+            cut = len(fp) if b is None else int(np.flatnonzero((c == c[-1]) & (key == key[-1]))[0])
+            for choice in np.unique(c[:cut]):
+                pick = np.flatnonzero(c[:cut] == choice)
+                x, y = shifts[choice]
+                yield _link_postings(fp[pick].view(np.uint64), key[pick], x, y)
+            held = [h[cut:] for h in held]
+
+    return _posted(fingerprints, [m for m, _, _ in _choices()]).mapInArrow(run, "u long, v long")
 
 
 def _link_postings(fp: np.ndarray, key: np.ndarray, a: np.uint64, b: np.uint64) -> pa.RecordBatch:

@@ -153,11 +153,63 @@ def test_phrases_equal_brute_force(spark, block):
         assert (x.n_words, x.n_hit, x.n_items, x.items_sha256) == contamination_by_hand(t, items, 4) and x.contaminated == (x.n_hit > 0)
 
 
+def near_by_hand(texts, items, size, slop):
+    """Per text, the distinct (start, width, phrase) of spans that hold a phrase's terms, from its rarest term on."""
+    split = [decontaminate.words_of(t.encode() if t else None) for t in texts]
+    known = {w for _, body in items for w in decontaminate.words_of(body.encode())}
+    count = Counter(w for ws in split for w in ws if w in known)
+    phrases = set()
+    for _, body in items:
+        ws = decontaminate.words_of(body.encode())
+        phrases |= {tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1) if ws else 0)}
+    out = []
+    for ws in split:
+        found = set()
+        for p in phrases:
+            rare, width, need = min(p, key=lambda w: (count[w], p.index(w))), len(p) + slop, Counter(p)
+            for a in (i for i, w in enumerate(ws) if w == rare):
+                for s in range(a, a - width, -1):
+                    if not need - Counter(ws[max(0, s) : s + width]):
+                        found.add((s, width, p))
+                        break
+        out.append(sorted((max(0, s), w) for s, w, _ in found))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 2, 5])
+def test_proximity_equals_brute_force(spark, monkeypatch, slop):
+    monkeypatch.setattr(decontaminate, "STEP", 64)
+    monkeypatch.setattr(decontaminate, "LOOKUP", 40)
+    r = random.Random(slop)
+    word = lambda: r.choice("abcdefg")
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 2, 3, 5])))) for i in range(6)]
+    texts = [" ".join(r.choice([word(), "zz"]) for _ in range(r.randint(0, 25))) for _ in range(25)]
+    found = decontaminate.phrase_matches(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], size=3, slop=slop)
+    rows = {x.doc_id: x for x in found.collect()}
+    for i, want in enumerate(near_by_hand(texts, items, 3, slop)):
+        assert sorted((m.start, m.length) for m in rows[i].matches) == want
+
+
 def test_proximity_matches(spark):
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    docs = frame(spark, ["gamma x beta y alpha", "alpha " + "x " * 9 + "beta gamma", "alpha beta"])
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "x x")], "item_id long, text string")
+    docs = frame(spark, ["gamma x beta y alpha", "alpha " + "x " * 9 + "beta gamma", "alpha beta", "x"])
     near = decontaminate.phrase_matches(docs, items, ["doc_id"], size=3, slop=2).orderBy("doc_id").collect()
-    assert [len(r.matches) for r in near] == [1, 0, 0]
+    assert [r["items"] for r in near] == [["1"], ["2"], [], []]
+
+
+def test_phrases_in_small_steps_name_their_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STEP", 16)
+    monkeypatch.setattr(decontaminate, "LOOKUP", 10)
+    items = spark.createDataFrame([(1, "a b c"), (2, "b c d"), (3, "b c")], "item_id long, text string")
+    docs = frame(spark, ["x a b c d " * 20, "b c", "c b", None])
+    made = decontaminate.phrase_matches(docs, items, ["doc_id"], size=2, block_bytes=4)
+    table = {}
+    for r in decontaminate.phrase_table(spark, items, size=2, block_bytes=4).collect():
+        table.setdefault(r.phrase, set()).add(r.item)
+    rows = {r.doc_id: r for r in made.collect()}
+    assert rows[1]["items"] == ["1", "2", "3"] and rows[2]["items"] == rows[3]["items"] == []
+    hits = {(m.start, i) for m in rows[0].matches for i in table[m.phrase]}
+    assert hits == {(5 * k + s, i) for k in range(20) for s, ids in ((1, "1"), (2, "123"), (3, "2")) for i in ids}
 
 
 def test_phrases_without_items_or_documents(spark):
@@ -326,6 +378,33 @@ def test_components_of_planted_fingerprints(spark):
             assert (got[i] == got[j]) == (want[i] == want[j])
 
 
+@pytest.mark.parametrize("tallied,chunk", [(2, 30), (5, 7), (512, 50_000)])
+def test_links_within_any_bounds(spark, monkeypatch, tallied, chunk):
+    monkeypatch.setattr(simhash, "TALLIED", tallied)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    r = random.Random(tallied)
+    fp = [r.getrandbits(64) for _ in range(6)]
+    for _ in range(150):
+        x = r.choice(fp)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            x ^= 1 << r.choice([r.randrange(64), r.randrange(8)])
+        fp.append(x)
+    want = components_by_hand(fp)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fp]
+    roots = {x.node: x.root for x in components.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    got = [roots.get(x, x) for x in signed]
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(fp)) for j in range(i))
+
+
+def test_tally_by_hand():
+    r = random.Random(1)
+    a = [r.getrandbits(64) for _ in range(300)]
+    b = [x ^ (r.getrandbits(64) & r.getrandbits(64) & r.getrandbits(64) & r.getrandbits(64)) for x in a]
+    same, bits = simhash.tally(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert bits.tolist() == [bin(x ^ y).count("1") for x, y in zip(a, b)]
+    assert same.tolist() == [sum(x >> 8 * k & 255 == y >> 8 * k & 255 for k in range(8)) for x, y in zip(a, b)]
+
+
 def test_spanning_of_a_full_posting():
     r = np.random.default_rng(1)
     rest = np.unique(r.integers(0, 1 << 16, 300))
