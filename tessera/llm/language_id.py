@@ -7,10 +7,13 @@ log back-off weight), looked up by binary search. The language of a text is the
 cross-entropy per character; a text whose cross-entropy is above the calibrated limit of its language
 is rejected.
 
+The models are sent out in shards of bounded size, each scored in a pass of its own; a document's language
+is chosen over all shards.
+
 Defined cases: null text, empty text and text with no letter give ``und`` with score 0 and are not
 accepted; without any training row every text does. Null ``lang`` rows are not learned from. Ties go to
 the language that sorts first. Repeated rows are counted as often as they occur. Other columns are
-ignored, whatever their names.
+ignored, whatever their names. Long texts are scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._util import doc_offsets, map_text, materialise, slices, struct, sum_by_run, texts_of
+from tessera.llm._util import beside, doc_offsets, map_text, materialise, slices, struct, sum_by_run, texts_of
 
 ORDER = 4
+#: Bytes of models that are broadcast at once; a larger language is a shard of its own.
+SHARD_BYTES = 512 << 20
 _MASKS = [np.uint64(0), np.uint64(0xFFFF), np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)]
 _letters: np.ndarray | None = None
 
@@ -103,6 +108,10 @@ class KneserNey:
             out[miss] = np.where(known, back, 0.0) + self._at(code[miss] & _MASKS[n - 1], n - 1)
         return out
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for level in (self.keys, self.logp, self.ctx, self.logb) for a in level)
+
     def logprob(self, code: np.ndarray) -> np.ndarray:
         """Natural log probability of the newest character of each packed 4-gram."""
         return self._at(code, ORDER)
@@ -147,14 +156,35 @@ class LanguageIdentifier:
         """Language (``und`` without letters), confidence in [0, 1] and whether the text is accepted."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        ce, n = cross_entropies(texts, self.models)
+        return self.choose(*cross_entropies(texts, self.models))
+
+    def choose(self, ce: np.ndarray, n: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """:meth:`predict` from the cross-entropies under all models and the characters of each text."""
         best = ce.argmin(axis=1)
-        low = ce[np.arange(len(texts)), best]
+        low = ce[np.arange(len(ce)), best]
         share = 1.0 / np.exp(-(ce - low[:, None]) * np.minimum(n, 50)[:, None]).sum(axis=1)
         some = n > 0
         accepted = some & (low <= self.limit(best, n))
         return [self.langs[b] if s else "und" for b, s in zip(best, some)], np.where(some, share, 0.0), accepted
 
+    def shards(self, size: int) -> list[list[int]]:
+        """Languages in order, so many together as their models have ``size`` bytes (one at least)."""
+        made: list[list[int]] = []
+        held = 0
+        for i, m in enumerate(self.models):
+            if made and held + m.nbytes <= size:
+                made[-1].append(i)
+                held += m.nbytes
+            else:
+                made.append([i])
+                held = m.nbytes
+        return made
+
+    def without_models(self) -> LanguageIdentifier:
+        made = LanguageIdentifier(self.langs, [])
+        made.limits = self.limits
+        return made
+
 
 def train_rows(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
     """Rows to learn from: known language, and crc32 of the id as text not 2 modulo 4."""
@@ -181,17 +211,16 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slack: float = 1.5, strict: float = 0.001) -> LanguageIdentifier:
     """Learns all languages from all training rows and calibrates the rejection.
 
-    Counts cover every training row, and every gram is in the model at any size. The model must fit one
-    machine; where it does not, the run fails.
+    Counts cover every training row, and every gram is in the model at any size. Grams are fetched one
+    language at a time; the models together must fit the driver, and where they do not, the run fails.
     The rejection limits are set per language on all its training rows: the exact ``1 - strict`` quantile of
     the standardised excess of cross-entropy, times ``slack``.
     """
     rows = train_rows(docs, id_col, lang_col)
-    got = materialise(count_grams(rows, text_col, lang_col), "grams").toArrow()
-    langs = sorted(pc.unique(got["lang"]).to_pylist())
-    vocabulary = len(np.unique(got["gram"].to_numpy().view(np.uint64) & _MASKS[1]))
-    parts = (got.filter(pc.equal(got["lang"], one)) for one in langs)
-    made = LanguageIdentifier(langs, [KneserNey(x["gram"].to_numpy().view(np.uint64), x["n"].to_numpy(), vocabulary) for x in parts])
+    counted = materialise(count_grams(rows, text_col, lang_col), "grams")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    vocabulary = counted.agg(F.count_distinct(F.col("gram").bitwiseAND(F.lit(0xFFFF)))).first()[0]
+    made = LanguageIdentifier(langs, [_model(counted, one, vocabulary) for one in langs])
     if langs:
         table = materialise(own_entropies(rows, made, text_col, lang_col), "entropies")
         limits = calibrate(table, slack, strict)
@@ -199,22 +228,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return made
 
 
-def own_entropies(rows: DataFrame, model: LanguageIdentifier, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, ce, chars) of every row with letters, under the model of its own language."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def _model(counted: DataFrame, lang: str, vocabulary: int) -> KneserNey:
+    got = counted.filter(F.col("lang") == lang).select("gram", "n").toArrow()
+    return KneserNey(got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy(), vocabulary)
 
-    def run(batches):
-        models = dict(zip(sent.value.langs, sent.value.models))
-        for whole in batches:
-            for batch in slices(whole, 1):
-                lang = np.array(batch.column(0).to_pylist(), dtype=object)
-                texts = texts_of(batch, 1)
-                for one in sorted(set(lang) & set(models)):
-                    ce, n = cross_entropies([texts[i] for i in np.flatnonzero(lang == one)], [models[one]])
-                    some = n > 0
-                    yield pa.RecordBatch.from_arrays([pa.array([one] * int(some.sum()), pa.string()), pa.array(ce[some, 0]), pa.array(n[some])], names=["lang", "ce", "chars"])
 
-    return rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).mapInArrow(run, "lang string, ce double, chars long")
+def own_entropies(rows: DataFrame, model: LanguageIdentifier, text_col: str, lang_col: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(lang, ce, chars) of every row with letters, under the model of its own language."""
+    src = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("t"))
+    made = None
+    for shard in model.shards(shard_bytes):
+        sent = rows.sparkSession.sparkContext.broadcast({model.langs[i]: model.models[i] for i in shard})
+
+        def run(batches, sent=sent):
+            for whole in batches:
+                for batch in slices(whole, 1):
+                    lang = np.array(batch.column(0).to_pylist(), dtype=object)
+                    texts = texts_of(batch, 1)
+                    for one in sorted(set(lang) & set(sent.value)):
+                        ce, n = cross_entropies([texts[i] for i in np.flatnonzero(lang == one)], [sent.value[one]])
+                        some = n > 0
+                        yield pa.RecordBatch.from_arrays([pa.array([one] * int(some.sum()), pa.string()), pa.array(ce[some, 0]), pa.array(n[some])], names=["lang", "ce", "chars"])
+
+        part = src.filter(F.col("lang").isin([model.langs[i] for i in shard])).mapInArrow(run, "lang string, ce double, chars long")
+        made = part if made is None else made.union(part)
+    return made
 
 
 def calibrate(table: DataFrame, slack: float, strict: float) -> dict[str, tuple[float, float, float]]:
@@ -278,8 +316,33 @@ def order_statistics(table: DataFrame, value: Callable, ranks: dict[str, set[int
     return {one: {r: float(back(np.array([b], dtype=np.uint64))[0]) for r, (b, _) in found.items()} for one, found in at.items()}
 
 
-def identify(docs: DataFrame, model: LanguageIdentifier, keep: list[str], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageIdentifier, keep: list[str], text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``keep`` plus lang_pred, score and accepted for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    out = struct(lang_pred="string", score="double", accepted="boolean")
-    return map_text(docs, text_col, keep, out, lambda texts: list(sent.value.predict(texts)))
+    spark, out = docs.sparkSession, struct(lang_pred="string", score="double", accepted="boolean")
+    shards = model.shards(shard_bytes)
+    if len(shards) < 2:
+        sent = spark.sparkContext.broadcast(model)
+        return map_text(docs, text_col, keep, out, lambda texts: list(sent.value.predict(texts)))
+    names = [f"c{i}" for i in range(len(keep))]
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text_col}`").alias("t"))
+    entropies = [f"e{s}" for s in range(len(shards))]
+    for s, shard in enumerate(shards):
+        sent = spark.sparkContext.broadcast([model.models[i] for i in shard])
+
+        def score(texts, sent=sent):
+            ce, n = cross_entropies(texts, sent.value)
+            return [list(ce), n]
+
+        held = map_text(held, "t", [*names, "t", *entropies[:s]], struct(**{entropies[s]: "double[]", "n": "long"}), score).drop(*["n"] * (s + 1 < len(shards)))
+    rest = spark.sparkContext.broadcast(model.without_models())
+    src = held.select(*names, F.concat(*entropies).alias("ce"), "n")
+    schema = T.StructType([*src.schema.fields[: len(names)], *out.fields])
+
+    def choose(batches):
+        for b in batches:
+            k = len(names)
+            ce = b.column(k).flatten().to_numpy().reshape(b.num_rows, -1)
+            made = rest.value.choose(ce, b.column(k + 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array(m, t) for m, t in zip(made, (pa.string(), pa.float64(), pa.bool_())))], names=schema.fieldNames())
+
+    return src.mapInArrow(choose, schema).toDF(*beside(keep, out.fieldNames()), *out.fieldNames())

@@ -163,6 +163,56 @@ def test_kneser_ney_is_a_distribution():
         assert (p > 0).all() and p.sum() == pytest.approx(1.0, abs=0.05) and p.sum() <= 1 + 1e-9
 
 
+def kneser_ney_by_hand(grams, vocabulary, d=0.75):
+    """Plain interpolated Kneser-Ney over 4-tuples with counts: a function from 4-tuples to probabilities."""
+    levels = {4: dict(grams)}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def p(g):
+        if not g:
+            return 1 / (vocabulary + 1)
+        counts, ctx = levels[len(g)], g[:-1]
+        after = [c for k, c in counts.items() if k[:-1] == ctx]
+        if not after:
+            return p(g[1:])
+        return max(counts.get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_a_plain_computation():
+    r = np.random.default_rng(8)
+    texts = ["".join(r.choice(list("abc d"), 60)).encode() for _ in range(6)]
+    code, _ = language_id.grams(texts)
+    tuples = [tuple(int(c) >> 16 * k & 0xFFFF for k in (3, 2, 1, 0)) for c in code]
+    u, n = np.unique(code, return_counts=True)
+    model, plain = language_id.KneserNey(u, n, 5), kneser_ney_by_hand(Counter(tuples), 5)
+    others = [b"dcba zz", "é a".encode(), b"abcabc"]
+    more, off = language_id.grams(others)
+    asked = np.concatenate([u, more])
+    want = [np.log(plain(tuple(int(c) >> 16 * k & 0xFFFF for k in (3, 2, 1, 0)))) for c in asked]
+    assert np.allclose(model.logprob(asked), want, rtol=1e-9)
+    ce, chars = language_id.cross_entropies(others, [model])
+    lp = np.array(want[len(u) :])
+    assert chars.tolist() == np.diff(off).tolist() and np.allclose(ce[:, 0], [-lp[a:b].mean() for a, b in zip(off, off[1:])])
+
+
+def test_sharded_models_choose_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    assert model.shards(1) == [[i] for i in range(len(model.langs))] and len(model.shards(1 << 40)) == 1 and len(model.langs) > 2
+    whole = {r.doc_id: r for r in language_id.identify(docs, model, ["doc_id"]).collect()}
+    for size in (1, model.models[0].nbytes + model.models[1].nbytes):
+        parts = language_id.identify(docs, model, ["doc_id"], shard_bytes=size).collect()
+        assert len(parts) == len(whole)
+        for r in parts:
+            w = whole[r.doc_id]
+            assert (r.lang_pred, r.accepted) == (w.lang_pred, w.accepted) and abs(r.score - w.score) < 1e-9
+    own = lambda size: sorted(map(tuple, language_id.own_entropies(docs.filter("lang is not null"), model, "text", "lang", size).collect()))
+    assert np.allclose([x[1] for x in own(1)], [x[1] for x in own(1 << 40)])
+
+
 def test_grams_by_hand():
     code, off = language_id.grams([b"Ab1 c", None, b"12", b"d"])
     a, b, c, d = (ord(x) for x in "abcd")
