@@ -36,11 +36,12 @@ from tessera.llm._util import doc_offsets, map_text, materialise, slices, struct
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: An anchor's place, its keys (null where a half window does not fit) and the hashes of its contexts.
 ANCHORS = T.ArrayType(struct(p="int", r="long", rc="long", l="long", lc="long"))
-#: Different contexts of one key that are compared in one task; beyond, windows are counted.
-LARGE = 1_000
+#: Different contexts of one key that are compared in one task: a few times what a task has anyway, between
+#: these bounds. Beyond, windows are counted.
+SMALL, LARGE, TIMES = 1_000, 16_000, 3
 #: Contexts that one comparison holds (always whole groups).
 CHUNK = 32_000
-#: Rows of a few numbers up to which they are broadcast to the texts; beyond, the texts are shuffled.
+#: Row numbers up to which they are broadcast to the texts; beyond, all texts that may hold windows are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -244,21 +245,21 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, units: Units) ->
     of = materialise(places.groupBy("k", "c").agg(F.first("row").alias("row"), F.first("p").alias("p"), F.count(F.lit(1)).alias("m")), "contexts")
     several = materialise(of.groupBy("k").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "several")
     todo = materialise(of.join(several, "k"), "todo")
-    sizes = todo.agg(F.count(F.lit(1)), F.max("d")).first()
+    total, largest = todo.agg(F.count(F.lit(1)), F.max("d")).first()
+    large = min(LARGE, max(SMALL, TIMES * total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = [of.filter("m > 1").select("k", "c", *_whole(units))]
-    if sizes[0]:
-        found.append(_compared(_contexts(scanned, todo.filter(F.col("d") <= LARGE), units), units))
-        if sizes[1] > LARGE:
-            found.append(_counted(_windows(scanned, todo.filter(F.col("d") > LARGE), units)))
+    if total:
+        found.append(_compared(_contexts(scanned, todo.filter(F.col("d") <= large), units), units))
+        if largest > large:
+            found.append(_counted(_windows(scanned, todo.filter(F.col("d") > large), units)))
     ranges = found[0]
     for other in found[1:]:
         ranges = ranges.union(other)
     ranges = materialise(ranges.groupBy("k", "c").agg(F.min("low").alias("low"), F.max("high").alias("high")), "ranges")
 
-    spans = materialise(places.join(ranges, ["k", "c"]).groupBy("row").agg(F.collect_list(F.struct("p", "low", "high")).alias("spans")), "spans")
-    entries = spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
+    spans = places.join(ranges, ["k", "c"]).groupBy("row").agg(F.collect_list(F.struct("p", "low", "high")).alias("spans"))
     whole = copies.filter("whole").select("row", F.lit(True).alias("whole"))
-    held = scanned.select("row", "n", "z").join(_sent(spans, entries), "row").join(_sent(whole, entries), "row", "left_anti")
+    held = _met(scanned.select("row", "n", "z"), spans.join(whole, "row", "left_anti"))
 
     def cut(batches):
         for batch in _small(batches, 2, units):
@@ -281,6 +282,12 @@ def _sent(rows: DataFrame, entries: int) -> DataFrame:
     return F.broadcast(rows) if entries <= BROADCAST_ROWS else rows
 
 
+def _met(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """``texts`` joined with what is known of some rows; only those rows' texts are shuffled, where they are few."""
+    lists = materialise(lists, "lists")
+    return texts.join(_sent(lists.select("row"), lists.count()), "row", "left_semi").join(lists, "row")
+
+
 def _whole(units: Units) -> list:
     """All offsets of a key's side; a text's ends bound them where they are applied."""
     left = F.col("k").bitwiseAND(F.lit(1)) == 1
@@ -318,7 +325,7 @@ def _small(batches, column: int, units: Units):
 def _with_texts(scanned: DataFrame, todo: DataFrame) -> DataFrame:
     """(z, a) of the texts that have contexts to look into, with the list of those."""
     lists = todo.groupBy("row").agg(F.collect_list(F.struct("p", "k", "c", "m")).alias("a"))
-    return scanned.select("row", "z").join(_sent(lists, todo.count()), "row").select("z", "a")
+    return _met(scanned.select("row", "z"), lists).select("z", "a")
 
 
 def _each_context(batches, units: Units):

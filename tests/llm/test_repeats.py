@@ -82,6 +82,7 @@ def hot_texts(word):
 @pytest.mark.parametrize("large", [2, 7, 1000])
 @pytest.mark.parametrize("rows", [0, 1_000_000])
 def test_hot_keys_equal_brute_force(spark, monkeypatch, large, rows):
+    monkeypatch.setattr(repeats, "SMALL", large)
     monkeypatch.setattr(repeats, "LARGE", large)
     monkeypatch.setattr(repeats, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(repeats, "CHUNK", 50)
@@ -95,6 +96,7 @@ def test_hot_keys_equal_brute_force(spark, monkeypatch, large, rows):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_hot_bytes_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(repeats, "SMALL", 3)
     monkeypatch.setattr(repeats, "LARGE", 3)
     texts = [*random_texts(seed, alphabet="ab "), *hot_texts(lambda i: f"{i % 50:x}")[::3]]
     raw = [t.encode() for t in texts]
