@@ -119,6 +119,29 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(low(x) & low(y), 0).when(low(x), -1).when(low(y), 1).when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
+def _whole_long(a: Column, ta: T.DataType) -> Column:
+    """The value as a long where it is a whole number in range, else null."""
+    if isinstance(ta, _INTS):
+        return a.cast("bigint")
+    d = a.cast("double")
+    return F.when(~F.isnan(d) & (d >= -(2.0**63)) & (d < 2.0**63) & (d == F.rint(d)), d.try_cast("bigint"))
+
+
+def equal(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
+    """Equality over mixed numbers: 1 equals 1.0, exactly also beyond 2^53; NaN equals itself, text only text."""
+    if isinstance(ta, T.StringType) or isinstance(tb, T.StringType):
+        return a.eqNullSafe(b) if type(ta) is type(tb) else F.lit(False)
+    if isinstance(ta, _INTS) == isinstance(tb, _INTS):
+        return F.coalesce(a == b, F.lit(False))
+    return F.coalesce(_whole_long(a, ta) == _whole_long(b, tb), F.lit(False))
+
+
+def number_hash(a: Column, ta: T.DataType) -> Column:
+    """A hash that equal numbers share, whatever their types."""
+    whole = _whole_long(a, ta)
+    return F.when(whole.isNotNull(), F.xxhash64(whole)).otherwise(F.xxhash64(a.cast("double")))
+
+
 def is_integer(a: Column, ta: T.DataType) -> Column:
     return F.lit(True) if isinstance(ta, _INTS) else is_finite(a) & (a % 1 == 0)
 

@@ -1,5 +1,8 @@
 """Trigram fuzzy matching as Column expressions, without user-defined functions.
 
+A gram without padding is held by the values that contain it, one padded before or after by those that begin or
+end with it: comparisons that generated code evaluates, without an array of the value's grams.
+
 A key has an ordered list of (gram, length) pairs, padded with a character that no text holds. The query's
 grams are walked in order, with repeats; each one that the column's value has adds its length. A value
 matches if a gram matched and the total before the last matched gram reached ``min_length``; the
@@ -69,8 +72,35 @@ def total(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["l"])
 
 
+#: Grams of a key up to which each is a comparison of its own; longer keys look grams up in an array.
+COMPARED = 96
+
+
+def _tests(value: Column, key: str | bytes) -> list[tuple[Column, int]] | None:
+    """Per gram of the key in order, whether the value has it, and its length; None for bytes and long keys."""
+    wanted = key_grams(key)
+    if not isinstance(key, str) or len(wanted) > COMPARED:
+        return None
+    made = []
+    for gram, n in wanted:
+        core, before, after = F.lit(gram.strip(PAD)), gram.startswith(PAD), gram.endswith(PAD)
+        test = value == core if before and after else F.startswith(value, core) if before else F.endswith(value, core) if after else F.contains(value, core)
+        made.append((test, n))
+    return made
+
+
+def _sum(tests: list[tuple[Column, int]]) -> Column:
+    out = F.lit(0)
+    for test, n in tests:
+        out = out + F.when(test, n).otherwise(0)
+    return out
+
+
 def fuzzy_match(value: Column, key: str | bytes, min_length: int = -1) -> Column:
     """Whether the value matches the key."""
+    if tests := _tests(value, key):
+        last = F.coalesce(*[F.when(test, n) for test, n in reversed(tests)])
+        return F.coalesce(_sum(tests) - last >= min_length, F.lit(False))
     hits = matched(value, key)
     if hits is None:
         return F.lit(False)
@@ -79,6 +109,8 @@ def fuzzy_match(value: Column, key: str | bytes, min_length: int = -1) -> Column
 
 def fuzzy_score(value: Column, key: str | bytes) -> Column:
     """The matched length; 0 without a shared gram."""
+    if tests := _tests(value, key):
+        return _sum(tests)
     hits = matched(value, key)
     return F.lit(0) if hits is None else F.coalesce(total(hits), F.lit(0))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import cells, fuzzy
-from tessera.operators.mutation import count_rows, delete_rows, first_wins, new_rows
+from tessera.operators.mutation import count_rows, delete_rows, first_wins, new_rows, same_rows
 from tessera.operators.ordered import OrderedView
 from tessera.plans.compiler import compile_predicate
 from tessera.plans.predicate import Predicate, col, col_at, from_json, from_lambda, lit, to_json
@@ -194,6 +194,74 @@ def registry_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("registry_lifecycle", registry_lifecycle, f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS r FROM part) WHERE r = 1 AND p_size <= 25 AND ({_SQL_B} OR {_SQL_D})")
 
+
+
+def _parts(spark: SparkSession, sf_dir: str, most: int):
+    """A registry over the parts up to a key, identified by it."""
+    from tessera.registry import Registry
+    from tessera.schema import with_roles
+
+    part = files.table(spark, sf_dir, "part")
+    schema = with_roles(part.schema, {"p_partkey": "btree"}, hashed=["p_partkey"])
+    registry = Registry(spark, schema)
+    registry.bulk_insert(part.filter(F.col("p_partkey") <= most))
+    return registry
+
+
+def insert_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One new row goes in, one whose identity is there does not."""
+    registry = _parts(spark, sf_dir, 20)
+    new, old = (registry.insert((k, "blue thing", "Brand#9", "LARGE", 7, 1.5)) for k in (1000000, 3))
+    return registry.fetch().select("p_partkey", "p_name", F.lit(new).alias("new"), F.lit(old).alias("old"))
+
+
+def batch_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of commands in order: its counts, one per row."""
+    from tessera.registry import Command
+
+    out = _parts(spark, sf_dir, 50).execute([Command("count"), Command("conditional_count", col("p_size").le(25)), Command("conditional_delete", col("p_size").le(25)), Command("count"), Command("clear"), Command("count")], write=True)
+    return spark.createDataFrame([(i, int(n)) for i, n in enumerate(out)], "step int, n long")
+
+
+def rows_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two tables hold the same rows equally often."""
+    nation = files.table(spark, sf_dir, "nation")
+    cases = [same_rows(nation, nation.orderBy(F.desc("n_nationkey"))), same_rows(nation, nation.filter("n_nationkey > 0")), same_rows(nation, nation.union(nation.limit(1)))]
+    return spark.createDataFrame(list(enumerate(cases)), "step int, same boolean")
+
+
+def to_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows decoded to objects of a class, and a table made of these again."""
+    import dataclasses
+
+    kind = dataclasses.make_dataclass("Part", [("p_partkey", int), ("p_name", str), ("p_brand", str), ("p_type", str), ("p_size", int), ("p_retailprice", float)])
+    registry = _parts(spark, sf_dir, 30)
+    return spark.createDataFrame([dataclasses.astuple(x) for x in registry.to_list(col("p_size").ge(20), kind)], registry.df.schema)
+
+
+def stream_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of rows goes in, micro-batch by micro-batch; rows that are there stay as they are."""
+    from tessera.streaming.ingest import insert_stream
+
+    registry = _parts(spark, sf_dir, 100)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
+    # A stream of files wants a folder or a pattern: this one names the table's file alone.
+    rows = spark.readStream.schema(registry.schema).parquet(f"{sf_dir.rstrip('/')}/part.parque[t]")
+    insert_stream(registry, rows, os.path.join(base, f"stream-{uuid.uuid4().hex}")).awaitTermination()
+    return registry.fetch()
+
+
+_add("insert_one", insert_one, "SELECT p_partkey, p_name, true AS new, false AS old FROM part WHERE p_partkey <= 20 UNION ALL SELECT 1000000, 'blue thing', true, false")
+_add(
+    "batch_execute",
+    batch_execute,
+    "WITH p AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_size <= 25) AS small FROM part WHERE p_partkey <= 50) "
+    "SELECT 0 AS step, n FROM p UNION ALL SELECT 1, small FROM p UNION ALL SELECT 2, small FROM p UNION ALL SELECT 3, n - small FROM p UNION ALL SELECT 4, n - small FROM p UNION ALL SELECT 5, 0 FROM p",
+)
+_add("rows_equal", rows_equal, "SELECT * FROM (VALUES (0, true), (1, false), (2, false)) AS t(step, same)")
+_add("to_objects", to_objects, "SELECT * FROM part WHERE p_partkey <= 30 AND p_size >= 20")
+_add("stream_insert", stream_insert, "SELECT * FROM part")
+
 # --------------------------------------------------------------------- ordered access
 
 _add("ordered_point", lambda s, d: OrderedView(files.table(s, d, "orders"), "o_orderkey").get(77), "SELECT * FROM orders WHERE o_orderkey = 77")
@@ -289,3 +357,4 @@ _cell("cell_inspect", lambda: [cells.is_even_integer(_c("l_partkey"), _L).alias(
 _cell("cell_magnitude", lambda: [cells.max_magnitude(_c("l_quantity"), -_c("l_linenumber").cast("double")).alias("most"), cells.min_magnitude(_c("l_quantity"), -_c("l_linenumber").cast("double")).alias("least")], "CASE WHEN l_quantity >= l_linenumber THEN l_quantity ELSE -l_linenumber::DOUBLE END AS most, CASE WHEN l_quantity < l_linenumber THEN l_quantity ELSE -l_linenumber::DOUBLE END AS least")
 _cell("cell_parse", lambda: [cells.parse(F.concat(_c("l_linenumber").cast("string"), F.when(_c("l_linenumber") % 2 == 0, ".5").otherwise(""))).getField(n).alias(n) for n in ("as_long", "as_double")], "CASE WHEN l_linenumber % 2 = 1 THEN l_linenumber::BIGINT END AS as_long, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber + 0.5::DOUBLE END AS as_double")
 _cell("cell_digest", lambda: [cells.digest(_c("l_returnflag"), "md5").alias("md5"), cells.digest(_c("l_returnflag")).alias("sha256"), cells.to_text(_c("l_returnflag").cast("binary"), T.BinaryType()).alias("hex")], "md5(l_returnflag) AS md5, sha256(l_returnflag) AS sha256, hex(encode(l_returnflag)) AS hex")
+_cell("cell_equal", lambda: [cells.equal(_c("l_linenumber"), _c("l_quantity"), _L, _DBL).alias("same"), cells.equal(_c("l_linenumber"), _c("l_linenumber").cast("double"), _L, _DBL).alias("own"), (cells.number_hash(_c("l_linenumber"), _L) == cells.number_hash(_c("l_linenumber").cast("double"), _DBL)).alias("alike")], "l_linenumber::DOUBLE = l_quantity AS same, true AS own, true AS alike")

@@ -350,3 +350,23 @@ def test_entry_reports_other_missing_modules(monkeypatch):
     if all(os.path.exists(os.path.join(root, x)) for x in ("corpus_pipeline.py", "tessera/llm/queries.py")):
         with pytest.raises(ModuleNotFoundError):
             e.queries()
+
+
+@pytest.mark.parametrize("key", ["a", "ab", "abc", "abca", "aa", "aaaa", "éb", "widget", ""])
+def test_compared_grams_match_like_arrays(spark, monkeypatch, key):
+    values = [None, "", "a", "b", "ab", "ba", "aa", "abc", "cab", "aaa", "aaab", "éb", "aéb", "red widget", "widgets", "wid", "get"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    both = []
+    for bound in (96, -1):
+        monkeypatch.setattr(fuzzy, "COMPARED", bound)
+        both.append(df.select(fuzzy.fuzzy_score(F.col("v"), key).alias("s"), *[fuzzy.fuzzy_match(F.col("v"), key, n).alias(f"m{n}") for n in (-1, 0, 1, 3)]).collect())
+    assert both[0] == both[1]
+
+
+def test_equality_over_mixed_numbers(spark):
+    rows = [(1, 1.0), (1, 1.5), (2**53 + 1, float(2**53)), (2**53, float(2**53)), (0, -0.0), (5, float("nan")), (2**63 - 1, 2.0**63), (None, 1.0)]
+    df = spark.createDataFrame(rows, "i long, d double")
+    i, d, ti, td = F.col("i"), F.col("d"), T.LongType(), T.DoubleType()
+    got = df.select(cells.equal(i, d, ti, td).alias("x"), cells.equal(d, i, td, ti).alias("y"), (cells.number_hash(i, ti) == cells.number_hash(d, td)).alias("h")).collect()
+    want = [True, False, False, True, True, False, False, False]
+    assert [r.x for r in got] == [r.y for r in got] == want and all(r.h for r, w in zip(got, want) if w)
