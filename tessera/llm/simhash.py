@@ -275,9 +275,10 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     table = materialise(map_text(plain.select(*key, F.col(text).alias("t")), "t", ["id", "row"], struct(fp="long"), lambda texts: [fingerprints(texts).view(np.int64)]), "fingerprints")
     roots = components(links(table))
     rows = table.join(roots, table.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "id", "row")
-    counted = rows.groupBy("root", "id", "row").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r"))
-    first = first.select("root", F.col("r.id").alias("fid"), F.col("r.row").alias("frow"))
+    # Both sides of the join are stored, so that a root of many rows can be split there.
+    counted = materialise(rows.groupBy("root", "id", "row").agg(F.count(F.lit(1)).alias("n")), "rows")
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("r"))
+    first = materialise(first.select("root", F.col("r.id").alias("fid"), F.col("r.row").alias("frow")), "first")
     stays = F.col("id").eqNullSafe(F.col("fid")) & (F.col("row") == F.col("frow"))
     judged = materialise(counted.join(first, "root").select("id", "row", "n", stays.alias("stays")).filter(~F.col("stays") | (F.col("n") > 1)), "judged")
     sizes = {r["stays"]: r["n"] for r in judged.groupBy("stays").agg(F.count(F.lit(1)).alias("n")).collect()}
