@@ -283,16 +283,13 @@ class ToxicityModel:
             return self
         off = doc_offsets([len(r) for r in rows])
         flat = np.concatenate(rows)
-        doc = np.repeat(np.arange(len(rows)), np.diff(off))
         used = telling(flat, off, labels)
         rate0 = float(labels.mean())
         self.bias = float(np.log(rate0 / (1 - rate0)))
-        place = np.searchsorted(used, flat)
-        hit = place < len(used)
-        hit[hit] = used[place[hit]] == flat[hit]
-        if not hit.any():
+        hit = np.flatnonzero(_among(flat, used))
+        if not len(hit):
             return self
-        place, doc, y = place[hit], doc[hit], labels.astype(float)
+        place, doc, y = np.searchsorted(used, flat[hit]), np.searchsorted(off, hit, "right") - 1, labels.astype(float)
         w, b, gw, gb = np.zeros(len(used)), self.bias, np.full(len(used), 1e-8), 1e-8
         for _ in range(rounds):
             z = np.bincount(doc, w[place], len(rows)) + b
@@ -307,6 +304,15 @@ class ToxicityModel:
         return self
 
 
+def _among(values: np.ndarray, kept: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Which values are in the sorted ``kept``, a step at a time."""
+    out = np.zeros(len(values), dtype=bool)
+    for a in range(0, len(values) if len(kept) else 0, step):
+        part = values[a : a + step]
+        out[a : a + step] = kept[np.minimum(np.searchsorted(kept, part), len(kept) - 1)] == part
+    return out
+
+
 def _bias(z: np.ndarray, y: np.ndarray) -> float:
     """The bias that makes the fewest errors at score 0.5; of several, the middle one."""
     order = np.argsort(z, kind="stable")
@@ -355,7 +361,13 @@ def telling(flat: np.ndarray, off: np.ndarray, labels: np.ndarray, share: float
     np.maximum.at(of, family, labels)
     heads = np.unique(family)
     p0 = float(of[heads].mean())
-    both = np.unique(flat.astype(np.int64) * len(family) + np.repeat(family, np.diff(off)))
+    # Features of fewer rows than ``least`` cannot pass, and most are such: they go before the large arrays.
+    ordered = np.sort(flat)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    often = ordered[first[np.diff(np.append(first, len(ordered))) >= least]]
+    del ordered
+    some = np.flatnonzero(_among(flat, often))
+    both = np.unique(flat[some].astype(np.int64) * len(family) + family[np.searchsorted(off, some, "right") - 1])
     feature, fam = both // len(family), both % len(family)
     seen, place = np.unique(feature, return_inverse=True)
     n = np.bincount(place)
