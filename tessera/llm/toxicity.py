@@ -277,12 +277,11 @@ class ToxicityModel:
                 z[i] += sum(map(self.weight.__getitem__, sorted(made)))
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 500, rate: float = 0.3, l2: float = 1e-6) -> ToxicityModel:
-        """Logistic regression by full-batch AdaGrad over the features that :func:`telling` selects."""
+    def fit(self, flat: np.ndarray, off: np.ndarray, labels: np.ndarray, rounds: int = 500, rate: float = 0.3, l2: float = 1e-6) -> ToxicityModel:
+        """Logistic regression by full-batch AdaGrad over the features that :func:`telling` selects; row i has
+        the features ``flat[off[i]:off[i + 1]]``."""
         if not len(labels) or labels.min() == labels.max():
             return self
-        off = doc_offsets([len(r) for r in rows])
-        flat = np.concatenate(rows)
         used = telling(flat, off, labels)
         rate0 = float(labels.mean())
         self.bias = float(np.log(rate0 / (1 - rate0)))
@@ -292,15 +291,15 @@ class ToxicityModel:
         place, doc, y = np.searchsorted(used, flat[hit]), np.searchsorted(off, hit, "right") - 1, labels.astype(float)
         w, b, gw, gb = np.zeros(len(used)), self.bias, np.full(len(used), 1e-8), 1e-8
         for _ in range(rounds):
-            z = np.bincount(doc, w[place], len(rows)) + b
-            err = (y - 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))) / len(rows)
+            z = np.bincount(doc, w[place], len(labels)) + b
+            err = (y - 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))) / len(labels)
             g = np.bincount(place, err[doc], len(used)) - l2 * w
             gw += g * g
             gb += err.sum() ** 2
             w += rate * g / np.sqrt(gw)
             b += rate * err.sum() / np.sqrt(gb)
         self.weight = {int(h): float(x) for h, x in zip(used, w) if x}
-        self.bias = _bias(np.bincount(doc, w[place], len(rows)), labels)
+        self.bias = _bias(np.bincount(doc, w[place], len(labels)), labels)
         return self
 
 
@@ -341,8 +340,12 @@ def families(flat: np.ndarray, off: np.ndarray, bands: int = 4, depth: int = 6)
     for _ in range(bands if len(some) else 0):
         sign = np.zeros((len(some), depth), dtype=np.uint32)
         for d in range(depth):
-            h = flat.astype(np.uint32) * np.uint32(r.integers(1, 1 << 31) * 2 + 1) + np.uint32(r.integers(0, 1 << 32))
-            sign[:, d] = np.minimum.reduceat((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D), off[:-1][some])
+            h = flat.astype(np.uint32)
+            h *= np.uint32(r.integers(1, 1 << 31) * 2 + 1)
+            h += np.uint32(r.integers(0, 1 << 32))
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            sign[:, d] = np.minimum.reduceat(h, off[:-1][some])
         first: dict[bytes, int] = {}
         for i, key in zip(some.tolist(), map(bytes, sign)):
             parent[root(i)] = root(first.setdefault(key, i))
@@ -363,8 +366,8 @@ def telling(flat: np.ndarray, off: np.ndarray, labels: np.ndarray, share: float
     p0 = float(of[heads].mean())
     # Features of fewer rows than ``least`` cannot pass, and most are such: they go before the large arrays.
     ordered = np.sort(flat)
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
-    often = ordered[first[np.diff(np.append(first, len(ordered))) >= least]]
+    ends = max(0, len(ordered) - least + 1)
+    often = np.unique(ordered[:ends][ordered[:ends] == ordered[len(ordered) - ends :]])
     del ordered
     some = np.flatnonzero(_among(flat, often))
     both = np.unique(flat[some].astype(np.int64) * len(family) + family[np.searchsorted(off, some, "right") - 1])
@@ -392,9 +395,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(known.select(F.col(id_col).alias("id"), "y")), "id")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = map_text(src, "t", ["y"], struct(f="int[]"), lambda texts: [sent.value.extract(texts)]).toArrow()
-    flat = rows["f"].combine_chunks()
-    off, values = (flat.offsets.to_numpy(), flat.values.to_numpy()) if rows.num_rows else (np.zeros(1, int), np.zeros(0, int))
-    return model.fit([values[a:b] for a, b in zip(off, off[1:])], np.array(rows["y"].to_pylist(), dtype=np.int64))
+    y = np.array(rows["y"].to_pylist(), dtype=np.int64)
+    chunks = rows["f"].chunks
+    del rows
+    off = doc_offsets(np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in chunks)]))
+    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in chunks)])
+    del chunks
+    return model.fit(flat, off, y)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text") -> DataFrame:
