@@ -17,6 +17,7 @@ from tessera.operators.mutation import count_rows, delete_rows, first_wins, new_
 from tessera.operators.ordered import OrderedView
 from tessera.plans.compiler import compile_predicate
 from tessera.plans.predicate import Predicate, col, col_at, from_json, from_lambda, lit, to_json
+from tessera.plans.wire import from_bytes, to_bytes
 from tessera.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +123,15 @@ _where("by_position", "part", col_at(4).eq(15) & col_at(1).ne("red widget"), "p_
 _where("lambda_where", "part", from_lambda(lambda r: (r.p_size >= 40) & ((r.p_brand == "Brand#2") | (r["p_type"] == "SMALL"))), f"p_size >= 40 AND ({_SQL_B} OR {_SQL_D})")
 _where("json_where", "part", from_json(to_json((_A | _B) & col("p_retailprice").between(920.0, 980.0))), f"({_SQL_A} OR {_SQL_B}) AND p_retailprice BETWEEN 920 AND 980")
 
+
+
+def wire_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate that went through its binary form."""
+    part = files.table(spark, sf_dir, "part")
+    p = (_A | col("p_name").fuzzy("red widgit", 12)) & col("p_retailprice").between(920.0, 980.0, "left") & col("p_partkey").ne(7)
+    return part.filter(compile_predicate(from_bytes(to_bytes(p, part.schema)), part.schema))
+
+
 # ---------------------------------------------------------------- counts and mutation
 
 
@@ -328,6 +338,9 @@ def fuzzy_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("fuzzy_bytes", fuzzy_bytes, _fuzzy_sql("p_partkey, hex(v) AS v, list_sum(list_transform(_m, lambda x: x.l))::BIGINT AS matched_length", "(SELECT p_partkey, encode(p_name) AS v FROM part)", "v", b"red widgit", 12))
 
 
+_add("wire_where", wire_where, f"SELECT * FROM part WHERE p_retailprice >= 920 AND p_retailprice < 980 AND p_partkey <> 7 AND ({_SQL_A} OR p_partkey IN ({_fuzzy_sql('p_partkey', 'part', 'p_name', 'red widgit', 12)}))")
+
+
 def fuzzy_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = fuzzy.gram_index(files.table(spark, sf_dir, "part"), "p_partkey", "p_name")
     return fuzzy.search_index(index, "p_partkey", "red widgit", 12)

@@ -24,13 +24,14 @@ from tessera.operators.mutation import delete_rows, first_wins, new_rows
 from tessera.plans.binding import check_literal
 from tessera.plans.compiler import compile_predicate
 from tessera.plans.predicate import Predicate, RowProxy, from_json, from_lambda
+from tessera.plans.wire import from_bytes
 from tessera.schema import identity_columns, indexed_columns
 from tessera.sources import files
 
 #: Writes after which the snapshot is written out, so that plans stay short.
 MATERIALISE_EVERY = 8
 
-Where = Predicate | dict | Callable[[RowProxy], Predicate] | None
+Where = Predicate | dict | bytes | Callable[[RowProxy], Predicate] | None
 
 
 @dataclasses.dataclass(frozen=True)
@@ -64,6 +65,8 @@ class Registry:
             return where
         if isinstance(where, dict):
             return from_json(where)
+        if isinstance(where, (bytes, bytearray)):
+            return from_bytes(where)
         return from_lambda(where)
 
     def condition(self, where: Where):

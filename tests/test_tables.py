@@ -22,6 +22,7 @@ from tessera.operators.ordered import OrderedView
 from tessera.plans.binding import bind, normalise
 from tessera.plans.compiler import compile_predicate
 from tessera.plans.predicate import Always, And, Between, Compare, Or, col, col_at, from_json, from_lambda, lit, to_json
+from tessera.plans.wire import from_bytes, to_bytes
 from tessera.registry import Command, Registry
 from tessera.schema import column, identity_columns, indexed, schema_from_class, schema_from_config, table_schema, to_config, with_roles
 from tessera.sources import files
@@ -196,6 +197,36 @@ def test_wire_form_and_lambda():
         from_lambda(lambda r: r.a)
 
 
+FRAME = bytes.fromhex("01000000" "03000000" "00000000" "01000000" "004000e0" "02000000" "03000000" "02000000" "01000000" "00000480" "01000000" "78")
+
+
+def test_binary_form(spark):
+    want = And(Compare(0, "eq", 2), Compare(2, "eq", "x"))
+    s = schema_from_config(NET)
+    assert from_bytes(FRAME) == want and to_bytes(want, s) == FRAME == to_bytes(col("col1").eq(2) & col("col3").eq("x"), s)
+    kinds = table_schema([column(n, t) for n, t in zip("abcdefg", (T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.StringType(), T.BinaryType(), T.DecimalType(29, 4)))])
+    d = decimal.Decimal
+    at = [col_at(i) for i in range(7)]
+    for p in (
+        *(getattr(at[1], op)(-(1 << 63)) for op in ("eq", "ne", "gt", "ge", "lt", "le")), *(at[0].between(5, -9, c) for c in ("both", "left", "right", "neither")),
+        at[2].ge(-0.5) | at[3].lt(math.inf) & at[4].fuzzy(CLEF + FLAG, 7), at[5].ne(b""), at[5].fuzzy(b"ab"), at[4].eq("x" * 500),
+        at[6].between(d("-12345678901234567890123.4567"), d("0.0001")), at[6].eq(d("12E3")), at[6].eq(d(2**96 - 1)),
+    ):
+        assert from_bytes(to_bytes(p, kinds)) == p
+    for cut in range(len(FRAME)):
+        with pytest.raises(E.SchemaError):
+            from_bytes(FRAME[:cut])
+    for bad in (FRAME + b"\0", b"\4\0\0\0", FRAME[:16] + b"\1" + FRAME[17:], b"\1\0\0\0" * 100000):
+        with pytest.raises(E.SchemaError):
+            from_bytes(bad)
+    for p in (~col("col1").eq(2), col("col1").outside(1, 2)):
+        with pytest.raises(E.OperationNotSupported):
+            to_bytes(p, s)
+    with pytest.raises(E.UnknownColumn):
+        to_bytes(col("nope").eq(2), s)
+    assert net(spark, "none").count(to_bytes(col("col1").eq(2) & col("col3").eq(FLAG), s)) == 2
+
+
 def test_nan_infinity_and_nulls(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (9.0,), (None,)], "x double")
     count = lambda p: df.filter(compile_predicate(p, df.schema)).count()
