@@ -11,9 +11,13 @@ score is the total.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.files import write_ordered
+
 #: Pads strings; bytes are handled as two hex digits a unit, where no unit reads like the pad.
 PAD, PAD_HEX = "\ue000", "zz"
 
@@ -120,6 +124,16 @@ def gram_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.explode(F.array_distinct(column_grams(F.col(text_col)))).alias("gram"))
 
 
+def store_index(df: DataFrame, id_col: str, text_col: str, path: str, partitions: int | None = None) -> DataFrame:
+    """:func:`gram_index` in files ordered by (gram, id), read again.
+
+    A search skips all row groups without one of its grams; the postings of a frequent gram fill several files.
+    """
+    index = gram_index(df, id_col, text_col).select("gram", id_col)
+    write_ordered(index, path, ["gram", id_col], partitions)
+    return df.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def search_index(index: DataFrame, id_col: str, key: str, min_length: int = -1) -> DataFrame:
     """(id, matched_length) of the rows of :func:`gram_index` that match ``key``.
 
@@ -131,6 +145,8 @@ def search_index(index: DataFrame, id_col: str, key: str, min_length: int = -1)
     if not wanted:
         return index.select(id_col, F.lit(0).cast("bigint").alias("matched_length")).limit(0)
     rows = spark.createDataFrame([(i, g, n) for i, (g, n) in enumerate(wanted)], "i int, gram string, l int")
-    hits = index.filter(F.col("gram").isin([g for g, _ in wanted])).join(F.broadcast(rows), "gram")
+    # One equality per gram: a long list would reach the scan as the range from the least gram to the greatest.
+    any_gram = functools.reduce(Column.__or__, [F.col("gram") == g for g in sorted({g for g, _ in wanted})])
+    hits = index.filter(any_gram).join(F.broadcast(rows), "gram")
     found = hits.groupBy(id_col).agg(F.sum("l").alias("matched_length"), F.max_by("l", "i").alias("last"))
     return found.filter(F.col("matched_length") - F.col("last") >= min_length).select(id_col, "matched_length")

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import decimal
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,8 +68,7 @@ _add("schema_header", schema_header, "SELECT * FROM (VALUES " + ", ".join(f"({i}
 
 
 def dump_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-dump-")
-    path = os.path.join(base, f"dump-{uuid.uuid4().hex}")
+    path = files.scratch(spark, "dump")
     files.dump(files.table(spark, sf_dir, "supplier"), path)
     return files.load(spark, path)
 
@@ -249,15 +245,35 @@ def to_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([dataclasses.astuple(x) for x in registry.to_list(col("p_size").ge(20), kind)], registry.df.schema)
 
 
+def insert_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts into a table that is laid out by its indexes at once: a table, one that overlaps it, and rows of the driver."""
+    from tessera.registry import Registry
+    from tessera.schema import with_roles
+
+    orders = files.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    schema = with_roles(orders.schema, {"o_custkey": "generic", "o_totalprice": "btree"}, hashed=["o_orderkey"])
+    registry = Registry(spark, schema, index_rows=1)
+    registry.bulk_insert(orders.filter(F.col("o_orderkey") % 3 > 0))
+    registry.bulk_insert(orders.withColumn("o_orderstatus", F.lit("again")))
+    registry.bulk_insert([tuple(r) for r in orders.filter(F.col("o_orderkey") <= 40).collect()])
+    return registry.fetch()
+
+
+_add(
+    "insert_indexed",
+    insert_indexed,
+    "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE 'again' END AS o_orderstatus, o_totalprice FROM orders",
+)
+
+
 def stream_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of rows goes in, micro-batch by micro-batch; rows that are there stay as they are."""
     from tessera.streaming.ingest import insert_stream
 
     registry = _parts(spark, sf_dir, 100)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
     # A stream of files wants a folder or a pattern: this one names the table's file alone.
     rows = spark.readStream.schema(registry.schema).parquet(f"{sf_dir.rstrip('/')}/part.parque[t]")
-    insert_stream(registry, rows, os.path.join(base, f"stream-{uuid.uuid4().hex}")).awaitTermination()
+    insert_stream(registry, rows, files.scratch(spark, "stream")).awaitTermination()
     return registry.fetch()
 
 
@@ -348,6 +364,22 @@ def fuzzy_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("fuzzy_index", fuzzy_index, _fuzzy_sql("p_partkey, list_sum(list_transform(_m, lambda x: x.l))::BIGINT AS matched_length", "part", "p_name", "red widgit", 12))
 
+
+def fuzzy_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches of one stored index; their best score."""
+    index = fuzzy.store_index(files.table(spark, sf_dir, "part"), "p_partkey", "p_name", files.scratch(spark, "grams"))
+    found = fuzzy.search_index(index, "p_partkey", "red widgit", 12).unionByName(fuzzy.search_index(index, "p_partkey", "small gadgit", 14))
+    return found.groupBy("p_partkey").agg(F.max("matched_length").alias("matched_length"))
+
+
+_add(
+    "fuzzy_stored_index",
+    fuzzy_stored_index,
+    "SELECT p_partkey, max(matched_length) AS matched_length FROM ("
+    + " UNION ALL ".join(_fuzzy_sql("p_partkey, list_sum(list_transform(_m, lambda x: x.l))::BIGINT AS matched_length", "part", "p_name", key, least) for key, least in (("red widgit", 12), ("small gadgit", 14)))
+    + ") GROUP BY p_partkey",
+)
+
 # ---------------------------------------------------------------------------- cells
 
 _I, _L, _DBL = T.IntegerType(), T.LongType(), T.DoubleType()

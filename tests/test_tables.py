@@ -1,5 +1,6 @@
 """Goldens of the table engine: predicates, registry, schemas, functions."""
 
+import asyncio
 import dataclasses
 import decimal
 import glob
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 import tessera.errors as E
 from tessera import queries
 from tessera.functions import cells, fuzzy
-from tessera.operators.mutation import first_wins, same_rows
+from tessera.operators.mutation import first_wins, new_rows_bucketed, same_rows
 from tessera.operators.ordered import OrderedView
 from tessera.plans.binding import bind, normalise
 from tessera.plans.compiler import compile_predicate
@@ -401,3 +402,120 @@ def test_equality_over_mixed_numbers(spark):
     got = df.select(cells.equal(i, d, ti, td).alias("x"), cells.equal(d, i, td, ti).alias("y"), (cells.number_hash(i, ti) == cells.number_hash(d, td)).alias("h")).collect()
     want = [True, False, False, True, True, False, False, False]
     assert [r.x for r in got] == [r.y for r in got] == want and all(r.h for r, w in zip(got, want) if w)
+
+
+def rows_read(df):
+    """Rows that the scans of a collected DataFrame read."""
+    rows = 0
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        if metrics.contains("numOutputRows"):
+            rows += metrics.apply("numOutputRows").value()
+    return rows
+
+
+@pytest.fixture
+def plain_plans(spark):
+    options = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def numbered_table(spark, **options):
+    schema = table_schema([column("id", T.LongType(), "generic"), column("v", T.LongType(), "btree", hashed=False), column("g", T.StringType(), "generic", hashed=False)])
+    return Registry(spark, schema, **options)
+
+
+def numbers(spark, low, high):
+    return spark.range(low, high).select("id", (F.col("id") * 7919 % 100003).alias("v"), F.concat(F.lit("g"), F.col("id") % 50).alias("g"))
+
+
+def test_inserts_do_not_exchange_the_table(spark, plain_plans):
+    r = numbered_table(spark, index_rows=1)
+    assert r.bulk_insert(numbers(spark, 0, 5000)) == 5000
+    assert [(p.rows, p.buckets) for p in r.parts] == [(5000, r.buckets)]
+    batch = first_wins(numbers(spark, 4000, 6000), ["id"], F.lit(0))
+    plan = new_rows_bucketed(r.parts[0].df, batch, ["id"], r.buckets)._jdf.queryExecution().executedPlan().toString()
+    # The one exchange is the batch's own, in which the first row of each identity is found.
+    assert "SortMergeJoin" in plan and sum("Exchange" in line for line in plan.splitlines()) == 1
+    assert r.bulk_insert(numbers(spark, 4000, 6000)) == 1000 and r.count() == 6000
+    assert r.bulk_insert([(1, 1, "x"), (7000, 1, "x"), (7000, 2, "x")]) == 1 and r.count() == 6001
+
+
+def test_fetches_skip_buckets_and_row_groups(spark, plain_plans):
+    spark.conf.set("parquet.block.size", 16384)
+    r = numbered_table(spark, index_rows=1)
+    try:
+        r.bulk_insert(numbers(spark, 0, 40000))
+    finally:
+        spark.conf.unset("parquet.block.size")
+    point = r.fetch(col("id").eq(123))
+    assert len(point.collect()) == 1 and rows_read(point) < 40000 / r.buckets * 1.2
+    span = r.fetch(col("v").between(100, 200))
+    assert span.count() == numbers(spark, 0, 40000).filter("v between 100 and 200").count()
+    span.collect()
+    assert rows_read(span) < 20000
+
+
+def test_parts_of_like_size_are_merged(spark):
+    r, n = numbered_table(spark, index_rows=100, buckets=2), 0
+    for k in range(12):
+        n += r.bulk_insert(numbers(spark, k * 40, k * 40 + 60))
+    assert n == r.count() == 500 and len(r.parts) <= 6
+    big = [p.rows for p in r.parts if p.laid_out]
+    assert all(a > 2 * b for a, b in zip(big, big[1:])) and sum(p.rows for p in r.parts) == 500
+    for k in range(10):
+        assert r.delete(col("id").eq(k)) == 1
+    assert r.count() == 490 and max(p.deletions for p in r.parts) <= 8 and r.bulk_insert([(3, 3, "back"), (30, 3, "there")]) == 1
+    r.rollback(11)
+    assert r.count() == 500
+    bag = numbered_table(spark, index_rows=100, dedup="none")
+    assert bag.bulk_insert(numbers(spark, 0, 150)) == 150 and bag.bulk_insert(numbers(spark, 0, 150)) == 150 and bag.count(col("v").le(0)) == 2
+
+
+def test_a_null_stops_an_insert(spark):
+    r = numbered_table(spark)
+    holed = numbers(spark, 0, 10).withColumn("g", F.when(F.col("id") != 7, F.col("g")))
+    with pytest.raises(E.ConstraintCheckFailed):
+        r.bulk_insert(holed)
+    assert r.count() == 0 and r.version == 0 and r.bulk_insert([]) == 0
+
+
+def test_laid_out_floats_decimals_and_bytes(spark):
+    schema = table_schema([column("a", T.DoubleType(), "btree"), column("b", T.DecimalType(29, 2), "btree"), column("c", T.BinaryType(), "generic")])
+    r = Registry(spark, schema, index_rows=1)
+    rows = [(0.0, decimal.Decimal("1.00"), b"x"), (-0.0, decimal.Decimal("1"), b"x"), (math.nan, decimal.Decimal("2"), b""), (1.5, decimal.Decimal("2"), b"y")]
+    assert r.bulk_insert(rows) == 3 and r.bulk_insert(rows) == 0
+    assert r.bulk_insert(spark.createDataFrame(rows, schema)) == 0 and r.count() == 3
+
+
+def test_stored_gram_index(spark, tmp_path):
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(["red widget", "bread", "", "a", "ab", "widgets red", "none of it"] * 30)], "id long, w string")
+    index = fuzzy.store_index(words, "id", "w", str(tmp_path / "grams"), 4)
+    for key, least in (("red widgit", 6), ("a", -1), ("ab", 2), ("", -1)):
+        found = {tuple(x) for x in fuzzy.search_index(index, "id", key, least).collect()}
+        wanted = {tuple(x) for x in fuzzy.search_index(fuzzy.gram_index(words, "id", "w"), "id", key, least).collect()}
+        plain = {x.id for x in words.filter(fuzzy.fuzzy_match(F.col("w"), key, least)).collect()}
+        assert found == wanted and {x for x, _ in found} == plain
+    assert "PushedFilters: [Or(" in fuzzy.search_index(index, "id", "red", 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        files.scratch(Elsewhere, "x")
+
+
+def test_list_helpers(spark):
+    r = numbered_table(spark)
+    r.bulk_insert([(1, 2, "a")])
+    assert asyncio.run(r.to_list_async()) == r.to_list() and asyncio.run(r.to_array_async(col("id").eq(1))) == r.to_array() == ((1, 2, "a"),)
