@@ -31,18 +31,20 @@ def _wrapped(value: Column, bits: int) -> Column:
     return F.pmod(value + half, span) - half
 
 
-def _exact(op, a: Column, b: Column, kind: T.DataType) -> Column:
+def _exact(op, a: Column, b: Column, kind: T.DataType, checked=None) -> Column:
+    """The wrapped result; 64-bit operands take the way over decimals only where ``checked`` finds an overflow."""
     bits = 64 if isinstance(kind, T.LongType) else 32
     if bits == 32:  # the exact result of 32-bit operands fits 64 bits
         r = op(a.cast("bigint"), b.cast("bigint"))
         return (F.pmod(r + (1 << 31), F.lit(1 << 32)) - (1 << 31)).cast("int")
-    return _wrapped(op(a.cast("decimal(19,0)"), b.cast("decimal(19,0)")).cast("decimal(38,0)"), 64).cast("bigint")
+    wrapped = _wrapped(op(a.cast("decimal(19,0)"), b.cast("decimal(19,0)")).cast("decimal(38,0)"), 64).cast("bigint")
+    return F.coalesce(checked(a.cast("bigint"), b.cast("bigint")), wrapped) if checked else wrapped
 
 
-def _binary(op, a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
+def _binary(op, a: Column, b: Column, ta: T.DataType, tb: T.DataType, checked=None) -> Column:
     kind = _wide(ta, tb)
     if isinstance(kind, (T.IntegerType, T.LongType)):
-        return _exact(op, a, b, kind)
+        return _exact(op, a, b, kind, checked)
     return op(a.cast(kind), b.cast(kind))
 
 
@@ -50,20 +52,21 @@ def add(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
     """Sum; text plus anything is concatenation."""
     if isinstance(ta, T.StringType) or isinstance(tb, T.StringType):
         return F.concat(a.cast("string"), b.cast("string"))
-    return _binary(lambda x, y: x + y, a, b, ta, tb)
+    return _binary(lambda x, y: x + y, a, b, ta, tb, F.try_add)
 
 
 def sub(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
-    return _binary(lambda x, y: x - y, a, b, ta, tb)
+    return _binary(lambda x, y: x - y, a, b, ta, tb, F.try_subtract)
 
 
 def mul(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
-    if isinstance(_wide(ta, tb), T.LongType):  # the full product needs 38 digits, so 64-bit halves are multiplied
+    if isinstance(_wide(ta, tb), T.LongType):  # beyond 64 bits the full product needs 38 digits, so halves are multiplied
         low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
         dec = lambda c: c.cast("decimal(19,0)")
         x, y = a.cast("bigint"), b.cast("bigint")
         cross = _wrapped((dec(F.shiftright(x, 32)) * dec(low(y)) + dec(low(x)) * dec(F.shiftright(y, 32))).cast("decimal(38,0)"), 32).cast("bigint")
-        return _wrapped((dec(low(x)) * dec(low(y))).cast("decimal(38,0)") + F.shiftleft(cross, 32).cast("decimal(38,0)"), 64).cast("bigint")
+        wrapped = _wrapped((dec(low(x)) * dec(low(y))).cast("decimal(38,0)") + F.shiftleft(cross, 32).cast("decimal(38,0)"), 64).cast("bigint")
+        return F.coalesce(F.try_multiply(x, y), wrapped)
     return _binary(lambda x, y: x * y, a, b, ta, tb)
 
 
@@ -200,6 +203,20 @@ def is_real_number(a: Column) -> Column:
     return ~is_nan(a)
 
 
+def is_canonical(a: Column) -> Column:
+    """True: a number has one form here."""
+    return F.lit(True)
+
+
+def is_complex_number(a: Column) -> Column:
+    """False: no number here has an imaginary part beside a real one."""
+    return F.lit(False)
+
+
+def is_imaginary_number(a: Column) -> Column:
+    return F.lit(False)
+
+
 def max_magnitude(a: Column, b: Column) -> Column:
     """The operand further from zero, the greater of equals; NaN wins."""
     x, y = F.abs(a), F.abs(b)
@@ -233,9 +250,36 @@ def to_text(a: Column, ta: T.DataType) -> Column:
 
 
 def digest(a: Column, method: str = "sha256") -> Column:
-    """md5, sha256 or sha512 as lower-case hex, or xxhash64 as a long."""
+    """md5, sha256, sha512, xxh128 or blake2b as lower-case hex, or xxhash64 as a long.
+
+    Spark has no xxh128 and blake2b, so these two go through Python in Arrow batches.
+    """
     if method == "xxhash64":
         return F.xxhash64(a)
     if method == "md5":
         return F.md5(a)
+    if method in ("xxh128", "blake2b"):
+        return _arrow_digest(method)(a.cast("binary"))
     return F.sha2(a, int(method.removeprefix("sha")))
+
+
+def _arrow_digest(method: str):
+    import hashlib
+
+    import pyarrow as pa
+
+    if method == "xxh128":
+        import xxhash
+
+        one = xxhash.xxh3_128_hexdigest
+    else:
+
+        def one(value: bytes) -> str:
+            return hashlib.blake2b(value).hexdigest()
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else one(v) for v in values.to_pylist()], pa.string())
+
+    # Set out, as postponed annotations of local names are not resolved.
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.StringType())

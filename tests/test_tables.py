@@ -519,3 +519,22 @@ def test_list_helpers(spark):
     r = numbered_table(spark)
     r.bulk_insert([(1, 2, "a")])
     assert asyncio.run(r.to_list_async()) == r.to_list() and asyncio.run(r.to_array_async(col("id").eq(1))) == r.to_array() == ((1, 2, "a"),)
+
+
+def test_digests_beside_the_built_in_ones(spark):
+    made = spark.createDataFrame([("",), ("abc",), (None,)], "s string").select("s", cells.digest(F.col("s"), "xxh128").alias("x"), cells.digest(F.col("s"), "blake2b").alias("b")).collect()
+    # Published values of both functions for the empty text and blake2b's for abc.
+    assert made[0].x == "99aa06d3014798d86001c324468d497f" and made[0].b.startswith("786a02f742015903c6c6fd852552d272")
+    assert made[1].b.startswith("ba80a53f981c4d0d6a2797b69f12f6e9") and made[2].x is None and made[2].b is None
+
+
+def test_wrapping_at_64_bits(spark):
+    values = [0, 1, -1, 2, -2, 3, 1 << 31, (1 << 62) + 5, (1 << 63) - 1, -(1 << 63), None]
+    rows = [(x, y) for x in values for y in values]
+    kind = T.LongType()
+    made = spark.createDataFrame(rows, "x long, y long").select("x", "y", *[f(F.col("x"), F.col("y"), kind, kind).alias(n) for n, f in (("a", cells.add), ("s", cells.sub), ("m", cells.mul))]).collect()
+    wrap = lambda v: (v + (1 << 63)) % (1 << 64) - (1 << 63)
+    for r in made:
+        want = [None] * 3 if r.x is None or r.y is None else [wrap(r.x + r.y), wrap(r.x - r.y), wrap(r.x * r.y)]
+        assert [r.a, r.s, r.m] == want
+    assert [value(spark, f(F.lit(1.5))) for f in (cells.is_canonical, cells.is_complex_number, cells.is_imaginary_number)] == [True, False, False]
